@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vectorloom.llm.mixing import mix_sources
 from vectorloom.llm.url_filter import filter_urls
 
 
@@ -13,8 +14,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_url_filter": op6_url_filter}
+    return {"op6_url_filter": op6_url_filter, "op8_source_mix": op8_source_mix}
 
 
 OP6_SQL = r"""
@@ -36,5 +41,45 @@ FROM judged
 """
 
 
+OP8_SQL = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+by_source AS (
+  SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source),
+weighted AS (SELECT *, (nth % 3 + 1)::BIGINT AS w, 3 * s AS most FROM by_source),
+-- rounds: what is above its limit stops there, the excess is reshared by weight
+rounds(full_ones, lft, open, again) AS (
+  SELECT []::BIGINT[], (SELECT sum(s)::BIGINT FROM weighted), (SELECT sum(w)::BIGINT FROM weighted), true
+  UNION ALL
+  SELECT list_concat(full_ones, n.f),
+         (lft - coalesce((SELECT sum(most) FROM weighted WHERE list_contains(n.f, nth)), 0))::BIGINT,
+         (open - coalesce((SELECT sum(w) FROM weighted WHERE list_contains(n.f, nth)), 0))::BIGINT,
+         len(n.f) > 0
+  FROM rounds, LATERAL (SELECT coalesce(list(nth), []) AS f FROM weighted
+                        WHERE NOT list_contains(full_ones, nth) AND lft * w >= most * open) n
+  WHERE again),
+final AS (SELECT * FROM rounds WHERE NOT again),
+targets AS (
+  SELECT source, s AS source_size,
+         CASE WHEN list_contains(full_ones, nth) THEN most::DOUBLE ELSE (lft * w)::DOUBLE / open::DOUBLE END AS target
+  FROM weighted, final),
+placed AS (
+  SELECT d.*, t.source_size, t.target,
+         sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size
+                         ROWS UNBOUNDED PRECEDING)::BIGINT AS e
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+stamped AS (
+  SELECT p.doc_id, p.source, p.size, p.e, (source_size * k + e)::DOUBLE / target AS time
+  FROM placed p, range(3) r(k) WHERE size > 0 AND target > 0),
+queue AS (SELECT time, sum(sum(size)) OVER (ORDER BY time) AS upto FROM stamped GROUP BY time),
+stop AS (SELECT max(time) AS last FROM queue WHERE upto <= (SELECT sum(size) FROM sized))
+SELECT doc_id, source, size, source_size, target,
+       CASE WHEN size > 0 AND target > 0 THEN size * (
+         ((e::DOUBLE / target <= last)::BIGINT) + (((source_size + e)::DOUBLE / target <= last)::BIGINT)
+         + (((2 * source_size + e)::DOUBLE / target <= last)::BIGINT)) ELSE 0 END::BIGINT AS taken
+FROM placed, stop
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL}
+    return {"op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
