@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm.mixing import mix_sources
+from vectorloom.llm.secrets import scan_secrets
 from vectorloom.llm.url_filter import filter_urls
 
 
@@ -14,12 +15,16 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_url_filter": op6_url_filter, "op8_source_mix": op8_source_mix}
+    return {"op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix}
 
 
 OP6_SQL = r"""
