@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vectorloom.llm.fingerprint import neighbour_fingerprints
 from vectorloom.llm.mixing import mix_sources
 from vectorloom.llm.secrets import scan_secrets
 from vectorloom.llm.url_filter import filter_urls
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -24,7 +29,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix}
+    return {"op2_fingerprints": op2_fingerprints, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix}
 
 
 OP6_SQL = r"""
