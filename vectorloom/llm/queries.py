@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm.fingerprint import neighbour_fingerprints
 from vectorloom.llm.mixing import mix_sources
+from vectorloom.llm.quality import quality_scores
 from vectorloom.llm.secrets import scan_secrets
 from vectorloom.llm.url_filter import filter_urls
 
@@ -28,8 +29,12 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprints": op2_fingerprints, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix}
+    return {"op2_fingerprints": op2_fingerprints, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op10_quality": op10_quality}
 
 
 OP6_SQL = r"""
