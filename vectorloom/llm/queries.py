@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vectorloom.llm.decontam import contaminated
 from vectorloom.llm.fingerprint import neighbour_fingerprints
 from vectorloom.llm.mixing import mix_sources
 from vectorloom.llm.quality import quality_scores
@@ -17,6 +18,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -34,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprints": op2_fingerprints, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op10_quality": op10_quality}
+    return {"op2_fingerprints": op2_fingerprints, "op4_decontaminate": op4_decontaminate, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op10_quality": op10_quality}
 
 
 OP6_SQL = r"""
