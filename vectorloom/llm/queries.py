@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm.decontam import contaminated
 from vectorloom.llm.fingerprint import neighbour_fingerprints
+from vectorloom.llm.jaccard_join import jaccard_components
 from vectorloom.llm.mixing import mix_sources
 from vectorloom.llm.quality import quality_scores
 from vectorloom.llm.secrets import scan_secrets
 from vectorloom.llm.url_filter import filter_urls
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, threshold=90).drop("copies")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -39,8 +44,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprints": op2_fingerprints, "op4_decontaminate": op4_decontaminate, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op10_quality": op10_quality}
-
+    return {"op1_ngram_join": op1_ngram_join, "op2_fingerprints": op2_fingerprints, "op4_decontaminate": op4_decontaminate, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op10_quality": op10_quality}
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+found AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, f.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN found f ON f.id = d.doc_id
+"""
 
 OP6_SQL = r"""
 WITH parts AS (
@@ -102,4 +123,4 @@ FROM placed, stop
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
