@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 
 from vectorloom.llm import text as tx
 from vectorloom.llm.components import components
+from vectorloom.llm.id_filter import IdFilter
 from vectorloom.llm.shared import cut
 
 _U = np.uint64
 _SEGMENT, _TERM, _SET = _U(0x8CB92BA72F3D8DD7), _U(0xABC98388FB8FAC03), _U(0x139408DCBBF7A44F)
-#: The bits of the filter that chooses the texts to read again, at most (16 MB).
-MOST_BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -163,29 +162,12 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     Texts are not shuffled: a bit filter of bounded size lets through those that may be in ids, and the
     sets made of these are joined with ids.
     """
-    spark = docs.sparkSession
-    count = ids.count()
-    bits = min(MOST_BITS, max(1 << 10, 1 << (8 * count).bit_length()))
-    slot = F.pmod(F.xxhash64(F.col("id")), F.lit(bits))
-    filled = ids.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("v"))
-    got = filled.toArrow()
-    table = np.zeros(bits // 64, dtype=np.int64)
-    table[got["w"].to_numpy()] = got["v"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    def maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            keep = (bitmap[at >> 6] >> (at & 63)) & 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, sets in _sets(maybe(batches), words):
+        for found, sets in _sets(batches, words):
             yield pa.RecordBatch.from_arrays([found, _lists(sets)], ["doc_id", "elements"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
-    made = rows.mapInArrow(run, "doc_id long, elements array<long>")
+    chosen = IdFilter(ids).among(docs.select("doc_id", "text"), "doc_id")
+    made = chosen.mapInArrow(run, "doc_id long, elements array<long>")
     return made.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
@@ -370,5 +352,5 @@ def keep_one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> Da
     """The rows of docs, all columns, that are the smallest doc_id of their component; unlinked rows stay."""
     found = jaccard_components(docs, words, threshold)
     # a null doc_id cannot be told from others; such rows stay
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return IdFilter(gone).without(docs, "doc_id")

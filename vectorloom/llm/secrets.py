@@ -208,39 +208,51 @@ def _cutoffs(scanned: DataFrame, rate: float) -> dict[int, int]:
     return {r["size"]: r["step"] for r in fits.groupBy("size").agg(F.min("step").alias("step")).collect()}
 
 
-def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, found.
-
-    found: array of (s, e, kind) by start, then kind in order (assign, access, hex, random); spans: the
-    same as text. Random spans never overlap base ones. A null or empty text has no spans; repeated
-    rows each get a row; a null doc_id stays null; an empty table gives none; other columns are ignored.
-    """
-    base_names = [k[0] for k in BASE_KINDS]
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """Adds base (s, k, e) and cands (s, e, n, p) to rows, from the text in _text."""
     text = F.col("_text")
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     for name, pattern, least, group in BASE_KINDS:
         length = (lambda p, g: lambda tok: F.char_length(F.regexp_extract(tok, p, g)))(pattern, group) if group else F.char_length
         rows = rows.withColumn(f"_{name}", spans(text, _FAST.get(name, pattern), lambda tok, f=length, m=least: f(tok) >= m))
     rows = rows.withColumn("_random", spans(text, TOKEN, lambda tok: F.lit(True)))
-    order = {n: i for i, n in enumerate([*base_names, "random"])}
 
     def listed(name: str) -> Column:
-        return F.transform(F.col(f"_{name}"), lambda x: F.struct(x["s"].alias("s"), F.lit(order[name]).alias("k"), x["e"].alias("e")))
+        return F.transform(F.col(f"_{name}"), lambda x: F.struct(x["s"].alias("s"), F.lit(_ORDER[name]).alias("k"), x["e"].alias("e")))
 
-    rows = rows.select("doc_id", F.array_sort(F.concat(*[listed(n) for n in base_names])).alias("base"), "_random")
+    rows = rows.withColumn("base", F.array_sort(F.concat(*[listed(k[0]) for k in BASE_KINDS])))
     clear = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
     cands = F.transform(F.filter("_random", clear), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["tok"]).alias("b")))
     cands = F.filter(cands, lambda x: x["b"]["enc"].isNotNull())
     cands = F.transform(cands, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["b"]["n"].alias("n"), F.when(x["b"]["uniform"], x["b"]["p"]).otherwise(F.lit(1.0)).alias("p")))
+    return rows.withColumn("cands", cands).drop(*[f"_{k}" for k in _ORDER])
+
+
+def _every(steps: dict[int, int]) -> Column:
+    """All spans (s, k, e): base ones, and candidates that reach their class's step."""
+    passes = lambda x: F.coalesce(_step(x["p"]) >= _needed(steps, _length_class(x["n"])), F.lit(False))
+    extra = F.transform(F.filter("cands", passes), lambda x: F.struct(x["s"].alias("s"), F.lit(_ORDER["random"]).alias("k"), x["e"].alias("e")))
+    return F.array_sort(F.concat("base", extra))
+
+
+_ORDER = {name: i for i, name in enumerate([*[k[0] for k in BASE_KINDS], "random"])}
+
+
+def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, found.
+
+    found: array of (s, e, kind) by start, then kind in order (assign, access, hex, random); spans: the
+    same as text. Random spans never overlap base ones. A null or empty text has no spans; repeated
+    rows each get a row; a null doc_id stays null; an empty table gives none; other columns are ignored.
+    """
+    base_names = [k[0] for k in BASE_KINDS]
+    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     # one pass over the texts; what follows reads this small table
-    scanned = cut(rows.select("doc_id", "base", cands.alias("cands")), "secrets")
+    scanned = cut(_with_spans(rows).select("doc_id", "base", "cands"), "secrets")
     steps = _cutoffs(scanned, rate)
-    passes = lambda x: F.coalesce(_step(x["p"]) >= _needed(steps, _length_class(x["n"])), F.lit(False))
-    extra = F.transform(F.filter("cands", passes), lambda x: F.struct(x["s"].alias("s"), F.lit(order["random"]).alias("k"), x["e"].alias("e")))
-    names = F.array(*[F.lit(n) for n in order])
+    names = F.array(*[F.lit(n) for n in _ORDER])
     spelled = lambda col: F.array_join(F.transform(col, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
-    count = lambda col, name: F.size(F.filter(col, lambda x: x["k"] == order[name])).cast("long")
-    return scanned.withColumn("every", F.array_sort(F.concat("base", extra))).select(
+    count = lambda col, name: F.size(F.filter(col, lambda x: x["k"] == _ORDER[name])).cast("long")
+    return scanned.withColumn("every", _every(steps)).select(
         "doc_id",
         *[count(F.col("base"), n).alias(f"n_{n}") for n in base_names],
         F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
@@ -255,3 +267,38 @@ def _needed(steps: dict[int, int], size: Column) -> Column:
     for k, step in steps.items():
         out = F.when(size == k, F.lit(step)).otherwise(out)
     return out
+
+
+MASK = "[secret]"
+
+
+def redact_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
+    """docs, all columns, with every span of a secret in text replaced by ``[secret]`` and n_chars kept true.
+
+    Overlapping spans give one mask. Null texts stay null; rows are never dropped.
+    """
+    rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    steps = _cutoffs(cut(_with_spans(rows.select("_text")).select("cands").where(F.size("cands") > 0), "secrets"), rate)
+    marked = _with_spans(rows).withColumn("_every", _every(steps))
+    text = F.col("_text")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
+        return (
+            F.when(x["e"] <= acc["at"], acc)
+            .when(x["s"] < acc["at"], state(x["e"], acc["out"]))
+            .otherwise(state(x["e"], F.concat(acc["out"], F.array(gap, F.lit(MASK)))))
+        )
+
+    pieces = F.aggregate(
+        F.col("_every"),
+        state(F.lit(0), F.array().cast("array<string>")),
+        step,
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))),
+    )
+    changed = F.when(F.size("_every") > 0, pieces).otherwise(F.col("text"))
+    out = marked.withColumn("text", changed)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("_every") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
