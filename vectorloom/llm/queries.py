@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectorloom.llm.decontam import contaminated
 from vectorloom.llm.fingerprint import neighbour_fingerprints
+from vectorloom.llm.html_extract import extract_pages
 from vectorloom.llm.jaccard_join import jaccard_components
 from vectorloom.llm.mixing import mix_sources
 from vectorloom.llm.quality import quality_scores
@@ -39,12 +40,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_fingerprints": op2_fingerprints, "op4_decontaminate": op4_decontaminate, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op10_quality": op10_quality}
+    return {"op1_ngram_join": op1_ngram_join, "op2_fingerprints": op2_fingerprints, "op4_decontaminate": op4_decontaminate, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op9_html_text": op9_html_text, "op10_quality": op10_quality}
 
 
 OP1_SQL = r"""
