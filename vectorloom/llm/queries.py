@@ -14,6 +14,7 @@ from vectorloom.llm.mixing import mix_sources
 from vectorloom.llm.ngram_lm import lm_scores
 from vectorloom.llm.quality import quality_scores
 from vectorloom.llm.secrets import scan_secrets
+from vectorloom.llm.suffix_dedup import remove_repeats
 from vectorloom.llm.url_filter import filter_urls
 
 
@@ -33,6 +34,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -54,7 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join, "op2_fingerprints": op2_fingerprints, "op3_lm_score": op3_lm_score, "op4_decontaminate": op4_decontaminate, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op9_html_text": op9_html_text, "op10_quality": op10_quality}
+    return {"op1_ngram_join": op1_ngram_join, "op2_fingerprints": op2_fingerprints, "op3_lm_score": op3_lm_score, "op4_decontaminate": op4_decontaminate, "op5_suffix_dedup": op5_suffix_dedup, "op6_url_filter": op6_url_filter, "op7_secret_scan": op7_secret_scan, "op8_source_mix": op8_source_mix, "op9_html_text": op9_html_text, "op10_quality": op10_quality}
 
 
 OP1_SQL = r"""
