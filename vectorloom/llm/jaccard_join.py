@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vectorloom.llm import text as tx
 from vectorloom.llm.components import components
 from vectorloom.llm.id_filter import IdFilter
-from vectorloom.llm.shared import cut
+from vectorloom.llm.shared import cut, discard
 
 _U = np.uint64
 _SEGMENT, _TERM, _SET = _U(0x8CB92BA72F3D8DD7), _U(0xABC98388FB8FAC03), _U(0x139408DCBBF7A44F)
@@ -62,12 +62,22 @@ class Plan:
         """(segments, how many of them with deletions) of the first index.
 
         Deletions cost a row for each element, so they are used where sets are small: there exact
-        segments would often be empty and equal by chance.
+        segments would often be empty and equal by chance. Elsewhere there are an eighth more segments
+        than needed, so that a set may leave its longest lists out.
         """
         need = self.needed(last)
         if need <= 4:
             return (need + 1) // 2, need // 2
-        return need, 0
+        return need + max(2, need // 8), 0
+
+    def need(self, size: int, last: int) -> int:
+        """What the segments that a set of this size probes must count together in a space up to last."""
+        return self.difference(size + min(last, self.top(size))) + 1
+
+    def slack(self, size: int, last: int) -> int:
+        """How many exact segments of the first index the set may leave out; -1 where there are deletions."""
+        segments, deletions = self.allocation(last)
+        return -1 if deletions else segments - self.need(size, last)
 
 
 def _segment_sums(term: np.ndarray, where: np.ndarray, count: int) -> np.ndarray:
@@ -138,22 +148,70 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Ar
 
 
 def _first_index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """(doc_id, n, h1, h2, sigs) of every row of docs."""
+    """(doc_id, n, h1, h2, own, own_slack, guest, guest_slack) of every row of docs.
+
+    own and guest: signatures in the set's own space and in the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bander = Bander(plan)
         for ids, sets in _sets(batches, words):
             h1 = np.array([int(s.sum()) if len(s) else 0 for s in sets], dtype=np.uint64)
             h2 = np.array([int(tx.mix(s ^ _SET).sum()) if len(s) else 0 for s in sets], dtype=np.uint64)
-            sigs = [
-                np.unique(np.concatenate([signatures(s, band, *plan.allocation(last)) for band, last, _ in bander.spaces(len(s))])) if len(s) else s
-                for s in sets
-            ]
+            lists: tuple[list, list] = ([], [])
+            slacks: tuple[list, list] = ([], [])
+            for s in sets:
+                spaces = bander.spaces(len(s)) if len(s) else []
+                for k in (0, 1):
+                    if k < len(spaces):
+                        band, last, _ = spaces[k]
+                        lists[k].append(np.unique(signatures(s, band, *plan.allocation(last))))
+                        slacks[k].append(plan.slack(len(s), last))
+                    else:
+                        lists[k].append(s[:0])
+                        slacks[k].append(0)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(h1)), pa.array(_signed(h2)), _lists(sigs)], ["doc_id", "n", "h1", "h2", "sigs"]
-            )
+                [
+                    ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(h1)), pa.array(_signed(h2)),
+                    _lists(lists[0]), pa.array(slacks[0], pa.int32()), _lists(lists[1]), pa.array(slacks[1], pa.int32()),
+                ],
+                ["doc_id", "n", "h1", "h2", "own", "own_slack", "guest", "guest_slack"],
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, own array<long>, own_slack int, guest array<long>, guest_slack int")
+
+
+def _buckets(first: DataFrame, members: DataFrame) -> DataFrame:
+    """(sig, rep, guest, slack) of signatures that several classes have."""
+    both = F.array(
+        F.struct(F.lit(False).alias("guest"), F.col("own").alias("sigs")),
+        F.struct(F.lit(True).alias("guest"), F.col("guest").alias("sigs")),
+    )
+    rows = first.where("doc_id IS NOT NULL AND n > 0").select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.guest", F.explode("x.sigs").alias("sig")).repartition("sig")
+    many = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
+    reps = members.where("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep", "own_slack", "guest_slack").distinct()
+    shared = rows.join(many, "sig").join(reps, "doc_id")
+    return shared.select("sig", "rep", "guest", F.when(F.col("guest"), F.col("guest_slack")).otherwise(F.col("own_slack")).alias("slack")).distinct()
+
+
+#: Rounds in which sets leave their buckets; each round lets others leave.
+PEELS = 3
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sigs array<long>")
+def _peeled(shared: DataFrame) -> DataFrame:
+    """shared with pivot, without the sets that need not probe any bucket.
+
+    A set may choose which segments it probes, as long as they count what is needed: one that can do
+    with segments that no other set has is proved to link with nothing in that space and leaves it.
+    """
+    for _ in range(PEELS):
+        staying = shared.groupBy("rep", "guest").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("s")).where("n > s").select("rep", "guest")
+        shared = shared.join(staying, ["rep", "guest"], "left_semi")
+        sizes = shared.groupBy("sig").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("guest").alias("g")).where("n > 1 AND NOT g").select("sig", "pivot")
+        shared = cut(shared.join(sizes, "sig").select("sig", "rep", "guest", "slack", "pivot"), "buckets")
+        if _ < PEELS - 1:
+            shared = shared.drop("pivot")
+    return shared
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -196,11 +254,13 @@ def _second_index(sets: DataFrame, plan: Plan) -> DataFrame:
                 elements = np.asarray(batch.column(1)[i].values).view(np.uint64)
                 n = len(elements)
                 for band, last, guest in bander.spaces(n):
+                    if not batch.column(5 if guest else 4)[i].as_py():
+                        continue  # nothing is open in this space
                     m = plan.needed(last)
                     sigs = signatures(elements, band, m, m)
                     place = (((tx.mix(elements) >> _U(32)) * _U(m)) >> _U(32)).astype(np.int32)
                     seg = np.concatenate((np.arange(m, dtype=np.int32), place))
-                    need = plan.difference(n + min(last, plan.top(n))) + 1
+                    need = plan.need(n, last)
                     k = len(sigs)
                     full = lambda v, kind, k=k: pa.array(np.full(k, v), kind)
                     yield pa.RecordBatch.from_arrays(
@@ -211,7 +271,7 @@ def _second_index(sets: DataFrame, plan: Plan) -> DataFrame:
                         ["doc_id", "comp", "size", "space", "guest", "need", "seg", "kind", "sig"],
                     )
 
-    return sets.select("doc_id", "elements", "comp", "size").mapInArrow(
+    return sets.select("doc_id", "elements", "comp", "size", "as_own", "as_guest").mapInArrow(
         run, "doc_id long, comp long, size long, space int, guest boolean, need int, seg int, kind int, sig long"
     )
 
@@ -310,16 +370,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: int = 90) ->
     first = cut(_first_index(docs, words, plan), "signatures")
     key = ["n", "h1", "h2"]
     classes = first.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = cut(first.select("doc_id", *key).join(classes, key, "left"), "classes")
-
-    # buckets with several sets; equal ones count once
-    rows = first.where("doc_id IS NOT NULL").select("doc_id", F.explode("sigs").alias("sig")).repartition("sig")
-    many = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
-    reps = members.where("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep").distinct()
-    shared = rows.join(many, "sig").join(reps, "doc_id").select("sig", "rep").distinct()
-    shared = cut(shared, "buckets")
-    pivots = shared.groupBy("sig").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = cut(shared.join(pivots, "sig").select("sig", "rep", "pivot"), "buckets")
+    members = cut(first.select("doc_id", *key, "own_slack", "guest_slack").join(classes, key, "left"), "classes")
+    found = cut(_buckets(first, members), "buckets")
+    discard(first)
+    shared = _peeled(found)
+    discard(found)
     stars = cut(shared.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("common")), "stars")
     involved = cut(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     sets = cut(_sets_of(docs, involved, words), "sets")
@@ -336,7 +391,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: int = 90) ->
     # what buckets with several components leave open
     named = _labelled(shared.where("rep <> pivot"), labels, "rep", "comp")
     open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    unsettled = cut(named.join(open_, "sig", "left_semi").select("rep", "comp").distinct(), "unsettled")
+    unsettled = named.join(open_, "sig", "left_semi").groupBy("rep", "comp").agg(F.max(~F.col("guest")).alias("as_own"), F.max("guest").alias("as_guest"))
+    unsettled = cut(unsettled, "unsettled")
+    discard(shared)
     if not unsettled.isEmpty():
         sizes = unsettled.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
         chosen = sets.join(unsettled.join(sizes, "comp"), F.col("doc_id") == F.col("rep"))
