@@ -99,7 +99,7 @@ def tiles(item: list[int], doc: list[int], least: int = LEAST) -> list[tuple[int
 class Index:
     """Seeds of benchmark items: every run of ``least`` words, with its items and places."""
 
-    def __init__(self, ids: list, texts: pa.Array, least: int = LEAST):
+    def __init__(self, ids: pa.Array, texts: pa.Array, least: int = LEAST):
         words, bounds = words_of(texts)
         self.least = least
         sizes = np.diff(bounds)
@@ -171,7 +171,7 @@ def _stretches(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
         yield int(part[0]), int(part[-1]) + n
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, pa.Array]]:
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[pa.Array, pa.Array]]:
     """The items in blocks of about BLOCK_BYTES."""
     rows = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -179,7 +179,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, pa.Array]]:
     for k in range(count):
         block = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         got = block.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        yield got["item_id"].to_pylist(), got["text"].combine_chunks()
+        yield got["item_id"].combine_chunks(), got["text"].combine_chunks()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
@@ -196,9 +196,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     parts = []
     for ids, texts in _blocks(benchmark):
         shared = spark.sparkContext.broadcast((ids, texts))
-        item_arrow = pa.array(ids).type
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, item_arrow=item_arrow) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value, least)
             for batch in batches:
                 for lo, hi in _slices(batch.column(1)):
@@ -209,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                     size = [len(index.items[f[1]]) for f in found]
                     cover = [f[2] / s for f, s in zip(found, size, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), pa.array([index.ids[f[1]] for f in found], item_arrow), pa.array(size, pa.int64()), pa.array([f[2] for f in found], pa.int64()),
+                        [batch.column(0).take(rows), index.ids.take(pa.array([f[1] for f in found])), pa.array(size, pa.int64()), pa.array([f[2] for f in found], pa.int64()),
                          pa.array(cover, pa.float64()), pa.array([f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())],
                         names,
                     )

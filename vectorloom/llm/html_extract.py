@@ -355,7 +355,7 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, str]]:
         body = prose(rng.randint(1, 3), "") if rng.random() < 0.6 else words(2, 30)
         return {
             "nav": lambda: wrap("nav", CUES["nav"], menu()),
-            "header": lambda: wrap("header", CUES["head"], pick((words(1, 6), menu(), f"<h1>{words(1, 4)}</h1>{menu()}"))),
+            "header": lambda: wrap("header", CUES["head"], pick((words(1, 6), menu(), f"<h1>{words(1, 4)}</h1>", f"<h1>{words(1, 4)}</h1>{menu()}", f"<p>{words(1, 9)}</p>"))),
             "footer": lambda: wrap("footer", CUES["foot"], pick((words(2, 20), menu(), f"<p>{words(2, 20)}</p>"))),
             "side": lambda: wrap("aside", CUES["side"], pick((body, menu(), f"<h3>{words(1, 4)}</h3>{menu()}"))),
             "ad": lambda: wrap("div", CUES["ad"], pick((body, link(), words(3, 20)))),
@@ -369,14 +369,14 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, str]]:
     for _ in range(count):
         before = "".join(aside(pick(("nav", "header", "ad", "notice", "form", "side"))) for _ in range(rng.randint(0, 4)))
         after = "".join(aside(pick(("footer", "side", "ad", "comments", "nav", "notice", "form", "share"))) for _ in range(rng.randint(0, 4)))
+        holder = rng.random()
         title = f"<h1>{_MARK}{words(1, 9)}</h1>"
-        if rng.random() < 0.2:
+        if rng.random() < 0.2 and holder < 0.7:
             title = f"<header>{title}</header>"
         inner = title + prose(rng.randint(1, 8), _MARK)
         if rng.random() < 0.35:
             inner += aside(pick(("ad", "share", "side", "comments", "form", "footer", "notice", "nav")))
             inner += prose(rng.randint(0, 3), _MARK)
-        holder = rng.random()
         if holder < 0.5:
             inner = f"<article>{inner}</article>"
         elif holder < 0.7:

@@ -127,9 +127,9 @@ def battery(tok: Column) -> Column:
             # equal pairs, from the lengths of runs in sorted order
             pairs = F.aggregate(
                 F.array_sort(m["chars"]),
-                F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("pairs")),
+                F.struct(F.lit("").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("pairs")),
                 lambda a, c: _let(
-                    F.when(c == a["last"], a["run"] + 1).otherwise(F.lit(0)),
+                    F.when(c == a["last"], a["run"] + 1).otherwise(F.lit(0).cast("long")),
                     lambda run: F.struct(c.alias("last"), run.alias("run"), (a["pairs"] + run).alias("pairs")),
                 ),
                 lambda a: a["pairs"].cast("double"),
