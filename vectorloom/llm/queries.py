@@ -78,6 +78,27 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, f.component_id
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN found f ON f.id = d.doc_id
 """
 
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS nth
+    FROM (SELECT doc_id, u.p, substr(h, 2 * u.p + 1, 200) AS s FROM d, LATERAL (SELECT unnest(range(n - 99)) AS p) u))
+  WHERE nth > 1),
+runs AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+    SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS fresh FROM starts)),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+pieces AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM spans),
+cut AS (
+  SELECT d.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept, max(e) AS e, sum(e - s) AS removed, count(*) AS spans
+  FROM pieces JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN c.doc_id IS NULL THEN h ELSE kept || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut c USING (doc_id)
+"""
+
 OP6_SQL = r"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -138,4 +159,4 @@ FROM placed, stop
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op5_suffix_dedup": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_source_mix": OP8_SQL}
