@@ -147,10 +147,11 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Ar
             lo = hi
 
 
-def _first_index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
+def _first_index(docs: DataFrame, words: int, plan: Plan, signed: bool) -> DataFrame:
     """(doc_id, n, h1, h2, own, own_slack, guest, guest_slack) of every row of docs.
 
-    own and guest: signatures in the set's own space and in the next one.
+    own and guest: signatures in the set's own space and in the next one, if signed; else empty. They are
+    made in a second pass instead of being kept, which costs less than a table of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def _first_index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
                 for k in (0, 1):
                     if k < len(spaces):
                         band, last, _ = spaces[k]
-                        lists[k].append(np.unique(signatures(s, band, *plan.allocation(last))))
+                        lists[k].append(np.unique(signatures(s, band, *plan.allocation(last))) if signed else s[:0])
                         slacks[k].append(plan.slack(len(s), last))
                     else:
                         lists[k].append(s[:0])
@@ -188,7 +189,8 @@ def _buckets(first: DataFrame, members: DataFrame) -> DataFrame:
         F.struct(F.lit(True).alias("guest"), F.col("guest").alias("sigs")),
     )
     rows = first.where("doc_id IS NOT NULL AND n > 0").select("doc_id", F.explode(both).alias("x")).select("doc_id", "x.guest", F.explode("x.sigs").alias("sig")).repartition("sig")
-    many = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
+    # the same columns on both sides, so that the rows are shuffled once
+    many = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min("guest").alias("g")).where("lo < hi AND NOT g").select("sig")
     reps = members.where("rep IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "rep", "own_slack", "guest_slack").distinct()
     shared = rows.join(many, "sig").join(reps, "doc_id")
     return shared.select("sig", "rep", "guest", F.when(F.col("guest"), F.col("guest_slack")).otherwise(F.col("own_slack")).alias("slack")).distinct()
@@ -367,11 +369,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: int = 90) ->
     """
     plan = Plan(threshold)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = cut(_first_index(docs, words, plan), "signatures")
+    first = cut(_first_index(docs, words, plan, signed=False).drop("own", "guest"), "sizes")
     key = ["n", "h1", "h2"]
     classes = first.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     members = cut(first.select("doc_id", *key, "own_slack", "guest_slack").join(classes, key, "left"), "classes")
-    found = cut(_buckets(first, members), "buckets")
+    found = cut(_buckets(_first_index(docs, words, plan, signed=True), members), "buckets")
     discard(first)
     shared = _peeled(found)
     discard(found)
