@@ -35,10 +35,10 @@ _U = np.uint64
 _BLOCK = 1 << 16
 _PLACE = _U((1 << 17) - 1)
 #: Text bytes that one bucket is made of, and no more buckets than this.
-BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 4096
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
 #: Starts that a bucket sorts at once.
-SORT_STARTS = 2_000_000
-FLUSH_ROWS = 400_000
+SORT_STARTS = 400_000
+FLUSH_ROWS = 150_000
 NULL_ID = np.iinfo(np.int64).max
 
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F))
@@ -322,10 +322,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         write_arrays(f"{path}/grams-{key[0].as_py()}", {"bits": table_})
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
 
-    have = {r["part"] for r in docs.mapInArrow(count_grams, blobs).groupBy("part").applyInArrow(write_filter, "part int").collect()}
+    docs.mapInArrow(count_grams, blobs).groupBy("part").applyInArrow(write_filter, "part int").collect()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = {p: map_arrays(f"{path}/grams-{p}")["bits"] for p in have}
+        filters: dict[int, np.ndarray] = {}  # opened when first needed
         held: list[dict[str, np.ndarray]] = []
         data: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -362,8 +362,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 where = _bucket(gram, buckets)
                 for p in np.unique(where):
                     mine = np.flatnonzero(where == p)
-                    byte, bit = _bit(gram[mine], len(filters[int(p)]) * 8)
-                    keep[mine] = (filters[int(p)][byte] >> bit) & 1
+                    p = int(p)
+                    if p not in filters:
+                        filters[p] = map_arrays(f"{path}/grams-{p}")["bits"]
+                    byte, bit = _bit(gram[mine], len(filters[p]) * 8)
+                    keep[mine] = (filters[p][byte] >> bit) & 1
                 if not keep.any():
                     continue
                 gram, name, start, count = gram[keep], name[keep], start[keep], count[keep]
@@ -401,15 +404,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     wrote = {r["part"] for r in spans.groupBy("part").applyInArrow(write_spans, "part int").collect()}
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = {p: map_arrays(f"{path}/spans-{p}") for p in wrote}
+        files: dict[int, dict[str, np.ndarray]] = {}
         for raw, at, ids, names in _texts(batches):
             where = _bucket(tx.mix(ids.view(np.uint64)), buckets)
             removed, count, digest = [], [], []
             for i, doc_id in enumerate(ids):
                 text = raw[at[i] : at[i + 1]]
                 pieces: list[tuple[int, int]] = []
-                f = files.get(int(where[i]))
-                if f is not None:
+                part = int(where[i])
+                if part in wrote:
+                    if part not in files:
+                        files[part] = map_arrays(f"{path}/spans-{part}")
+                    f = files[part]
                     a, b = np.searchsorted(f["doc"], doc_id, "left"), np.searchsorted(f["doc"], doc_id, "right")
                     mine = np.flatnonzero(f["name"][a:b] == names[i]) + a
                     pieces = list(zip(f["start"][mine].tolist(), f["end"][mine].tolist(), strict=True))
