@@ -69,15 +69,17 @@ class EliasFano:
             value[todo] = self.high[word[todo]] ^ flip
             count[todo] = np.bitwise_count(value[todo])
             todo = todo[left[todo] >= count[todo]]
-        # within the word, by halves
-        pos = np.zeros(len(k), dtype=np.uint64)
-        for width in (32, 16, 8, 4, 2, 1):
-            half = (value >> pos) & _U((1 << width) - 1)
-            count = np.bitwise_count(half).astype(np.int64)
-            up = left >= count
-            left[up] -= count[up]
-            pos[up] += _U(width)
-        return word * 64 + pos.astype(np.int64)
+        return word * 64 + _in_word(value, left)
+
+    def _next(self, at: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Bit position of the k-th one or zero, which is the first at or after a position."""
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        value = (self.high[word] if ones else ~self.high[word]) >> off
+        out = at + np.bitwise_count((value & (~value + _U(1))) - _U(1)).astype(np.int64)
+        far = np.flatnonzero(value == 0)
+        if len(far):
+            out[far] = self._select(k[far], ones)
+        return out
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -93,18 +95,29 @@ class EliasFano:
         i = np.asarray(i, dtype=np.int64)
         return ((self._select(i, True) - i).astype(np.uint64) << _U(self.l)) | self._lows(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first value that is at least x; n if there is none."""
+    def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values i and i + 1."""
+        at = self._select(i, True)
+        after = self._next(at + 1, i + 1, True)
+        low = lambda p, k: ((p - k).astype(np.uint64) << _U(self.l)) | self._lows(k)
+        return low(at, i), low(after, i + 1)
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first value that is at least x, n if there is none; whether it equals x)."""
         x = np.asarray(x, dtype=np.uint64)
         h = (x >> _U(self.l)).astype(np.int64)
-        inside = h < self.buckets
+        inside = np.flatnonzero(h < self.buckets)
         out = np.full(len(x), self.n, dtype=np.int64)
-        h, x = h[inside], x[inside]
-        lo = np.zeros(len(h), dtype=np.int64)
-        later = h > 0
-        lo[later] = self._select(h[later] - 1, False) + 1 - h[later]
-        hi = self._select(h, False) - h
-        want = x & _U((1 << self.l) - 1)
+        same = np.zeros(len(x), dtype=bool)
+        h = h[inside]
+        # the bucket's ones stand between two zeros
+        begin = np.zeros(len(h), dtype=np.int64)
+        later = np.flatnonzero(h > 0)
+        begin[later] = self._select(h[later] - 1, False) + 1
+        lo = begin - h
+        last = self._next(begin, h, False) - h
+        hi = last.copy()
+        want = x[inside] & _U((1 << self.l) - 1)
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
@@ -113,7 +126,29 @@ class EliasFano:
             hi[live[~less]] = mid[~less]
             live = live[lo[live] < hi[live]]
         out[inside] = lo
-        return out
+        here = np.flatnonzero(lo < last)
+        same[inside[here]] = self._lows(lo[here]) == want[here]
+        return out, same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first value that is at least x; n if there is none."""
+        return self.find(x)[0]
+
+
+_L8, _H8 = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of the k-th set bit of a byte, at [k * 256 + byte].
+_PLACES = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8) for b in range(256)], dtype=np.int64)
+
+
+def _in_word(v: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit of each word: sums of bits by byte find the byte, a table the bit."""
+    s = v - ((v >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _L8
+    rank = k.astype(np.uint64)
+    byte = np.bitwise_count(((rank * _L8 | _H8) - s) & _H8).astype(np.uint64) << _U(3)
+    left = rank - (((s << _U(8)) >> byte) & _U(255))
+    return byte.astype(np.int64) + _PLACES[((left << _U(8)) | ((v >> byte) & _U(255))).astype(np.int64)]
 
 
 def _resolve(path: str) -> tuple[fs.FileSystem, str]:
@@ -152,7 +187,7 @@ def map_arrays(path: str) -> dict[str, np.ndarray]:
         size = int.from_bytes(f.read(8), "little")
         head = json.loads(f.read(size))
     out = {}
-    whole = np.memmap(local, "u1", "r")
+    whole = np.asarray(np.memmap(local, "u1", "r"))
     for name, (kind, n, at) in head.items():
         start = 8 + size + at
         out[name] = whole[start : start + n * np.dtype(kind).itemsize].view(kind)

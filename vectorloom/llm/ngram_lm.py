@@ -29,6 +29,8 @@ DISCOUNT = 0.75
 LEAST_COUNT = 2
 #: Text bytes that one shard is made of, and no more shards than this.
 SHARD_BYTES, MOST_SHARDS = 32 << 20, 4096
+#: Text bytes that are looked up together: each distinct n-gram of them once.
+SLICE_BYTES = 12 << 20
 #: Keys that a task gathers before it sends them.
 FLUSH_KEYS = 3_000_000
 
@@ -150,9 +152,7 @@ class Trie:
                 continue
             coded = self.ef("words", s, "hash")
             want = hashes[a:b] - _U(self.spec.base(s))
-            at = coded.successor(want)
-            ok = at < coded.n
-            ok[ok] = coded[at[ok]] == want[ok]
+            at, ok = coded.find(want)
             out[a:b][ok] = at[ok] + self.offsets[s]
         return out
 
@@ -181,16 +181,12 @@ class Trie:
         maybe = np.flatnonzero((bits[(slot >> _U(3)).astype(np.int64)] >> (slot & _U(7)).astype(np.uint8)) & 1)
         if not len(maybe):
             return out
-        pointer, coded = self.ef(level, s, "pointer"), self.ef(level, s, "child")
-        lo, hi = pointer[context[maybe]].astype(np.int64), pointer[context[maybe] + 1].astype(np.int64)
-        before = np.zeros(len(maybe), dtype=np.uint64)
-        later = lo > 0
-        before[later] = coded[lo[later] - 1]
-        want = before + child[maybe].astype(np.uint64) + _U(1)
-        at = coded.successor(want)
-        ok = (at < hi) & (lo < hi)
-        ok[ok] = coded[at[ok]] == want[ok]
-        out[maybe[ok]] = at[ok]
+        # the children of a context are the values above its base, up to the next context's base
+        base, after = self.ef(level, s, "base").pair(context[maybe])
+        want = base + child[maybe].astype(np.uint64) + _U(1)
+        near = np.flatnonzero(want <= after)
+        at, ok = self.ef(level, s, "child").find(want[near])
+        out[maybe[near[ok]]] = at[ok]
         return out
 
 
@@ -205,18 +201,18 @@ def _segments(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 def _level(contexts: np.ndarray, children: np.ndarray, codes: np.ndarray, n_contexts: int) -> dict[str, np.ndarray]:
     """Arrays of one level of a shard: n-grams by context, then child."""
-    pointer = np.concatenate(([0], np.cumsum(np.bincount(contexts, minlength=n_contexts)))) if n_contexts else np.zeros(1, np.int64)
-    # children go on counting where the range before ended: each is relative to its context
-    last = np.concatenate((contexts[1:] != contexts[:-1], [True])) if len(contexts) else np.zeros(0, bool)
-    ends = np.where(last, children + 1, 0).cumsum()
-    base = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    values = (children + 1 + base).astype(np.uint64)
+    # children go on counting where the context before ended, so that each is relative to its context
+    greatest = np.zeros(n_contexts, dtype=np.int64)
+    last = np.flatnonzero(np.concatenate((contexts[1:] != contexts[:-1], [True]))) if len(contexts) else np.zeros(0, np.int64)
+    greatest[contexts[last]] = children[last] + 1
+    base = np.concatenate(([0], np.cumsum(greatest)))
+    values = (children + 1 + base[contexts]).astype(np.uint64)
     size = max(64, 1 << int(len(contexts) * 10).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
     bits[(tx.mix((contexts.astype(np.uint64) << _U(32)) | children.astype(np.uint64)) & _U(size - 1)).astype(np.int64)] = 1
     return {
-        **EliasFano.build(pointer, int(pointer[-1]) + 1, "pointer."),
-        **EliasFano.build(values, int(values[-1]) + 1 if len(values) else 1, "child."),
+        **EliasFano.build(base, int(base[-1]) + 1, "base."),
+        **EliasFano.build(values, int(base[-1]) + 1, "child."),
         "p": codes, "filter": np.packbits(bits, bitorder="little"),
     }
 
@@ -228,7 +224,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         _, at = tx.buffers(column)
         lo = 0
         while lo < batch.num_rows:
-            hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(at, at[lo] + (4 << 20), side="right")) - 1))
+            hi = min(batch.num_rows, max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE_BYTES, side="right")) - 1))
             words, bounds, _, _ = tx.word_hashes(column.slice(lo, hi - lo))
             n = hi - lo
             first = bounds + np.arange(n + 1)
@@ -358,7 +354,7 @@ def train(docs: DataFrame) -> Spec:
             if not len(both):
                 continue
             keys = (context[both].astype(np.uint64) << _U(32)) | ids[both].astype(np.uint64)
-            order = np.argsort(from_shard[both], kind="stable")
+            order = np.argsort(from_shard[both].astype(np.int16), kind="stable")
             keys, where = keys[order], from_shard[both][order]
             for s, i, j in _segments(where):
                 k, c = np.unique(keys[i:j], return_counts=True)
@@ -404,7 +400,7 @@ def probabilities(trie: Trie, ids: np.ndarray, counts: np.ndarray, first: np.nda
     left = _before(ids, first, end_id)
     shard, pair = _pairs(trie, left, ids)
     known = np.flatnonzero(left >= 0)
-    order = known[np.argsort(shard[known], kind="stable")]
+    order = known[np.argsort(shard[known].astype(np.int16), kind="stable")]
     for s, i, j in _segments(shard[order]):
         at = order[i:j]
         arrays = trie.arrays("pairs", s)
@@ -414,13 +410,16 @@ def probabilities(trie: Trie, ids: np.ndarray, counts: np.ndarray, first: np.nda
         p[at[hit]] += _CODES[arrays["p"][pair[at[hit]]]]
     context, where = _before(pair, first, -1), _before(shard, first, -1)
     known = np.flatnonzero(context >= 0)
-    order = known[np.lexsort((ids[known], context[known], where[known]))]
+    order = known[np.argsort(where[known].astype(np.int16), kind="stable")]
     for s, i, j in _segments(where[order]):
         at = order[i:j]
         arrays = trie.arrays("triples", s)
         p[at] *= _CODES[arrays["rest"][context[at]]]
-        word = np.flatnonzero(ids[at] >= 0)
-        found = trie.children("triples", s, context[at[word]], ids[at[word]])
+        # a kept triple ends in a kept pair
+        word = np.flatnonzero(pair[at] >= 0)
+        key = (context[at[word]].astype(np.uint64) << _U(32)) | ids[at[word]].astype(np.uint64)
+        distinct, inverse = np.unique(key, return_inverse=True)
+        found = trie.children("triples", s, (distinct >> _U(32)).astype(np.int64), (distinct & _U(0xFFFFFFFF)).astype(np.int64))[inverse]
         ok = found >= 0
         p[at[word[ok]]] += _CODES[arrays["p"][found[ok]]]
     return p
