@@ -1,7 +1,8 @@
 """Language-model scoring by an Elias-Fano n-gram trie.
 
 Levels are counted one after another over all training documents: words, then pairs, then triples whose
-two pairs were kept; pairs and triples seen once are left out, their mass goes to the shorter context.
+two pairs were kept; pairs and triples seen less than a least count are left out, their mass goes to the
+shorter context. With a least count of 1 nothing is left out.
 Each level is cut into shards by the first word. A task merges the counts of a shard, writes its arrays
 as one file to the shared folder, and returns a row of totals. Scoring maps the files and looks each
 distinct n-gram up by successor search among the children of its context.
@@ -26,6 +27,7 @@ from vectorloom.llm.shared import new_path
 
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
+#: Pairs and triples seen less than this are left out where a caller names no other count.
 LEAST_COUNT = 2
 #: Text bytes that one shard is made of, and no more shards than this.
 SHARD_BYTES, MOST_SHARDS = 32 << 20, 4096
@@ -269,7 +271,7 @@ def _pairs(trie: Trie, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray,
     return trie.shard_of(left), index
 
 
-def train(docs: DataFrame) -> Spec:
+def train(docs: DataFrame, least_count: int = LEAST_COUNT) -> Spec:
     """Counts docs (text) and writes the trie to the shared folder."""
     spark = docs.sparkSession
     docs = docs.select("text")
@@ -325,7 +327,7 @@ def train(docs: DataFrame) -> Spec:
     def write_pairs(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
         keys, counts = merge([unpack(b) for b in table["blob"].to_pylist()])
-        kept = counts >= LEAST_COUNT
+        kept = counts >= least_count
         keys, counts = keys[kept], counts[kept]
         context, child = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
         trie = Trie(spec)
@@ -368,7 +370,7 @@ def train(docs: DataFrame) -> Spec:
     def write_triples(key: tuple, table: pa.Table) -> pa.Table:
         s = key[0].as_py()
         keys, counts = merge([unpack(b) for b in table["blob"].to_pylist()])
-        kept = counts >= LEAST_COUNT
+        kept = counts >= least_count
         keys, counts = keys[kept], counts[kept]
         context, child = (keys >> _U(32)).astype(np.int64), (keys & _U(0xFFFFFFFF)).astype(np.int64)
         seen = Trie(spec).arrays("pair-counts", s)["count"]
@@ -459,12 +461,14 @@ def score_documents(docs: DataFrame, spec: Spec) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
+def lm_scores(docs: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
     """Scores of all rows of docs by a model of those outside the held-out fold.
 
+    Pairs and triples seen less than least_count are left out of the model; 1 keeps all.
+
     Tokens are words and one end a text, so that null and empty texts have one token. A null doc_id is in
     training. Repeated rows count and score each; an empty table gives none; without training rows every
     score is 0. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    return score_documents(docs, train(docs.where(~is_held_out(F.col("doc_id")))))
+    return score_documents(docs, train(docs.where(~is_held_out(F.col("doc_id"))), least_count))
