@@ -27,8 +27,8 @@ BASE_KINDS = (
 )
 #: Patterns with the same matches of at least the least length, where short matches never hide long ones.
 _FAST = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
-#: Tokens that the randomness battery looks at.
-TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Tokens that the randomness battery looks at; which of them are reported is decided for each class of length.
+TOKEN = r"[A-Za-z0-9+/_-]{12,}={0,2}"
 #: Encodings from narrow to wide: (name, pattern, alphabet size, chance that two neighbours differ in class).
 ENCODINGS = (
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 16, 0.469),
