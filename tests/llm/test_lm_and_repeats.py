@@ -101,11 +101,12 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize(("bucket_bytes", "flush", "sort"), [(1 << 25, 400_000, 2_000_000), (2000, 20, 50)])
-def test_repeats(spark, monkeypatch, bucket_bytes, flush, sort):
+@pytest.mark.parametrize(("bucket_bytes", "flush", "sort", "hot"), [(1 << 25, 400_000, 2_000_000, 4096), (2000, 20, 5, 4096), (2000, 20, 5, 2), (1 << 25, 400_000, 2_000_000, 2)])
+def test_repeats(spark, monkeypatch, bucket_bytes, flush, sort, hot):
     monkeypatch.setattr(sd, "BUCKET_BYTES", bucket_bytes)
     monkeypatch.setattr(sd, "FLUSH_ROWS", flush)
-    monkeypatch.setattr(sd, "SORT_STARTS", sort)
+    monkeypatch.setattr(sd, "SORT_STRETCHES", sort)
+    monkeypatch.setattr(sd, "HOT", hot)
     rng = random.Random(4)
     text = lambda n: "".join(rng.choice("abcdé fgh\n") for _ in range(n))
     passages = [text(rng.randint(60, 400)) for _ in range(6)]

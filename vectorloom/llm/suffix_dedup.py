@@ -1,4 +1,4 @@
-"""Exact removal of repeated substrings by blockwise suffix buckets.
+"""Exact removal of repeated substrings by blockwise sorting around a cover sample.
 
 Every string of ``WIDTH`` bytes holds the place where its smallest GRAM-byte hash stands, at the same
 offset wherever the string occurs. These places are the cover sample: content-defined instead of modular
@@ -6,17 +6,23 @@ like a difference cover, so that of all starts only about 3 % are sampled and ne
 that share a sample place follow one another and go together as one stretch.
 
 1. Sampled grams are counted; a bit filter of those that occur twice goes to the shared folder.
-2. Stretches at repeated grams are dealt into buckets by gram. Stretches with one name (a 128-bit hash of
-   all their bytes) are ties that are resolved without their bytes; only the first of each name is kept.
-   A bucket sorts the starts of the stretches that are left, compares equal ones byte by byte, and reports
-   all but the first. A task holds one bucket at a time.
-3. Reported spans are merged by document and written as files; a last pass over the texts cuts them out.
+2. Stretches at repeated grams are dealt into buckets by gram; those at grams that very many texts have are
+   halved and dealt by grams grown to one side, so that no gram's bucket holds all of them. Equal stretches
+   are ties of any length that need no sorting; only the first of each is kept.
+3. A task sorts one bucket at a time, piece by piece of whole grams: the sample places of a piece get their
+   ranks in suffix order (bytes from the place on) and in prefix order (bytes before it, backwards), with
+   the lengths that neighbours share. Two starts at one offset from their sample place hold equal strings
+   if no shorter shared length stands between their ranks on either side, so that these ranks resolve all
+   ties without looking at the strings again. All but the first of equal starts are reported.
+4. Reported spans are merged by document and written as files; a last pass over the texts cuts them out.
+
+Hashes only choose sample places and buckets; whatever is reported was compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +40,21 @@ _STARTS = WIDTH - GRAM + 1
 _U = np.uint64
 _BLOCK = 1 << 16
 _PLACE = _U((1 << 17) - 1)
-#: Text bytes that one bucket is made of, and no more buckets than this.
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 16
-#: Starts that a bucket sorts at once.
-SORT_STARTS = 400_000
-FLUSH_ROWS = 150_000
+#: Text bytes that one bucket is made of.
+BUCKET_BYTES = 8 << 20
+#: Stretches that a bucket sorts at once, as far as grams can be told apart.
+SORT_STRETCHES = 30_000
+#: Stretches that a task gathers before it deals them out, and sampled grams before it sends their counts.
+FLUSH_ROWS, FLUSH_GRAMS = 100_000, 1_500_000
+#: Stretches at a gram that occurs more often than this are halved and dealt by longer grams.
+HOT = 4096
+#: Bytes by which a gram grows, to either side; windows have so many before or after it.
+_GROWN = (WIDTH - GRAM) // 2
 NULL_ID = np.iinfo(np.int64).max
 
 _BYTE = tx.mix(np.arange(1, 257, dtype=np.uint64) * _U(0xA0761D6478BD642F))
 _BYTE2 = tx.mix(np.arange(1, 257, dtype=np.uint64) * _U(0xE7037ED1A0B428DB))
+_SPREAD, _LEFT, _RIGHT = _U(0x8EBC6AF09C88C6E3), _U(0x589965CC75374CC3), _U(0x1D8E4E27C47D124F)
 
 
 def _prefix(block: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -58,8 +70,11 @@ def _hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (prefix[end] - prefix[start]) * down[start]
 
 
-def stretches(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(gram, name, start, count, bytes before the sample place) of the stretches of a block, for texts raw at offsets at."""
+def stretches(raw: np.ndarray, at: np.ndarray, look: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(gram, name, start, count, bytes before the sample place) of the stretches of a block, for texts raw at offsets at.
+
+    look tells for grams which stretches are wanted and which of them are halved; without it all come whole.
+    """
     n = len(raw)
     for lo in range(0, n, _BLOCK):
         block = raw[lo : lo + _BLOCK + WIDTH - 1]
@@ -90,11 +105,36 @@ def stretches(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...
         first, count = cuts[:-1], np.diff(cuts)
         ok = good[first]
         first, count = first[ok], count[ok]
+        place = place[first]
+        # sampled grams are small numbers: mixed again they are spread evenly
+        found = tx.mix(gram[place] ^ _SPREAD)
+        if look is not None and len(first):
+            wanted, hot = look(found)
+            first, count, place, found, hot = first[wanted], count[wanted], place[wanted], found[wanted], hot[wanted]
+            if hot.any():
+                first, count, place, found = _halved(prefix, first, count, place, found, hot)
         if not len(first):
             continue
-        before = place[first] - first
+        before = place - first
         name = tx.mix(_hash(prefix, first, first + count + WIDTH - 1) ^ tx.mix((count.astype(np.uint64) << _U(32)) | before.astype(np.uint64)))
-        yield gram[place[first]], name, first + lo, count, before
+        yield found, name, first + lo, count, before
+
+
+def _halved(prefix: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, gram: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The stretches, hot ones cut in two: starts with _GROWN bytes before the gram, and the others, which have them after it."""
+    ahead = np.where(hot, np.clip(place - first - _GROWN + 1, 0, count), 0)
+    left, right = np.flatnonzero(hot & (ahead > 0)), np.flatnonzero(hot & (ahead < count))
+    grown_left = tx.mix(_hash(prefix, place[left] - _GROWN, place[left] + GRAM) ^ _LEFT)
+    grown_right = tx.mix(_hash(prefix, place[right], place[right] + GRAM + _GROWN) ^ _RIGHT)
+    plain = np.flatnonzero(~hot)
+    out = (
+        np.concatenate((first[plain], first[left], first[right] + ahead[right])),
+        np.concatenate((count[plain], ahead[left], count[right] - ahead[right])),
+        np.concatenate((place[plain], place[left], place[right])),
+        np.concatenate((gram[plain], grown_left, grown_right)),
+    )
+    order = np.argsort(out[0], kind="stable")
+    return tuple(x[order] for x in out)
 
 
 def _second_names(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -202,78 +242,124 @@ def _union(doc: np.ndarray, name: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[first], name[first], start[first], reach[last]
 
 
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of size bytes that begin at a and at b are equal."""
+    out = np.empty(len(a), dtype=bool)
+    step = 16384
+    for k in range(0, len(a), step):
+        x, offsets = _gather(raw, a[k : k + step], size[k : k + step])
+        y, _ = _gather(raw, b[k : k + step], size[k : k + step])
+        out[k : k + step] = np.logical_and.reduceat(x == y, offsets[:-1]) if len(x) else True
+    return out
+
+
+def _equal_stretches(c: dict[str, np.ndarray], raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): stretches by content, the earliest of equal ones first, and the first one of each.
+
+    Names find what may be equal, bytes decide: one whose bytes differ from the first of its name gets another name.
+    """
+    while True:
+        order = np.lexsort((c["start"], c["text"], c["doc"], c["name2"], c["name1"]))
+        cuts = _runs(c["name1"][order], c["name2"][order])
+        head = np.empty(len(order), dtype=np.int64)
+        head[order] = np.repeat(order[cuts[:-1]], np.diff(cuts))
+        later = np.flatnonzero(head != np.arange(len(order)))
+        first = head[later]
+        same = (c["count"][later] == c["count"][first]) & (c["before"][later] == c["before"][first])
+        same[same] = _same_bytes(raw, begin[later[same]], begin[first[same]], c["count"][later[same]] + WIDTH - 1)
+        if same.all():
+            return order, head
+        c["name2"] = c["name2"].copy()
+        c["name2"][later[~same]] += _U(1)
+
+
+def _elsewhere(c: dict[str, np.ndarray], head: np.ndarray) -> np.ndarray:
+    """Stretches that are not the first with their bytes; one that stands twice because its row is repeated is no other."""
+    return (c["doc"] != c["doc"][head]) | (c["text"] != c["text"][head]) | (c["start"] != c["start"][head])
+
+
 def _repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, name of text, start, end) of the repeated spans of one bucket."""
-    col = {k: table[k].combine_chunks().to_numpy() if k != "bytes" else None for k in table.column_names}
-    found: list[tuple[np.ndarray, ...]] = []
-    order = np.lexsort((col["start"], col["text"], col["doc"], col["name2"], col["name1"]))
-    c = {k: v[order] for k, v in col.items() if v is not None}
-    cuts = _runs(c["name1"], c["name2"])
-    head = np.repeat(cuts[:-1], np.diff(cuts))
-    later = (c["doc"] != c["doc"][head]) | (c["text"] != c["text"][head]) | (c["start"] != c["start"][head])
-    found.append((c["doc"][later], c["text"][later], c["start"][later], c["start"][later] + c["count"][later] + WIDTH - 1))
-    keep = cuts[:-1]
-    c = {k: v[keep] for k, v in c.items()}
-    source = order[keep]
-    by_gram = np.argsort(c["gram"], kind="stable")
-    c, source = {k: v[by_gram] for k, v in c.items()}, source[by_gram]
-    groups = _runs(c["gram"])
-    sizes = np.diff(groups)
-    many = np.repeat(sizes > 1, sizes)
-    c, source = {k: v[many] for k, v in c.items()}, source[many]
-    groups = _runs(c["gram"]) if len(source) else np.zeros(1, np.int64)
+    c = {k: table[k].combine_chunks().to_numpy() for k in table.column_names if k != "bytes"}
     data = table["bytes"].combine_chunks()
     _, offsets, raw = data.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1]
+    begin = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data)]
     raw = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-    starts_before = np.concatenate(([0], np.cumsum(c["count"]))) if len(source) else np.zeros(1, np.int64)
+    order, head = _equal_stretches(c, raw, begin)
+    later = _elsewhere(c, head)
+    found = [(c["doc"][later], c["text"][later], c["start"][later], c["start"][later] + c["count"][later] + WIDTH - 1)]
+    keep = order[head[order] == order]
+    # grams that several different stretches have
+    keep = keep[np.argsort(c["gram"][keep], kind="stable")]
+    sizes = np.diff(_runs(c["gram"][keep])) if len(keep) else np.empty(0, np.int64)
+    keep = keep[np.repeat(sizes > 1, sizes)]
+    groups = _runs(c["gram"][keep]) if len(keep) else np.zeros(1, np.int64)
     i = 0
     while i < len(groups) - 1:
-        # whole groups of grams, about SORT_STARTS starts at once
-        j = max(i + 1, int(np.searchsorted(starts_before[groups], starts_before[groups[i]] + SORT_STARTS, "right")) - 1)
-        a, b = groups[i], groups[j]
-        found.append(_repeated_starts({k: v[a:b] for k, v in c.items()}, raw, offsets[source[a:b]]))
+        j = max(i + 1, int(np.searchsorted(groups, groups[i] + SORT_STRETCHES, "right")) - 1)
+        piece = keep[groups[i] : groups[j]]
+        found.append(_repeated_starts({k: v[piece] for k, v in c.items()}, raw, begin[piece]))
         i = j
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+#: Bytes on either side of a gram that a window can reach, as whole words.
+_SIDE = -(-(WIDTH - GRAM) // 8) * 8
+
+
+def _ranked(side: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each row among the bytes of its side, by group first; length shared by rank r and the one before, -1 across groups)."""
+    order = np.lexsort((*side.view(">u8").astype(np.uint64).T[::-1], group))
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    shared = np.full(len(order), -1, dtype=np.int64)
+    step = 16384
+    for k in range(1, len(order), step):
+        a, b = order[k - 1 : min(k + step, len(order)) - 1], order[k : k + step]
+        unlike = side[a] != side[b]
+        length = np.where(unlike.any(1), unlike.argmax(1), _SIDE)
+        shared[k : k + step] = np.where(group[a] == group[b], length, -1)
+    return rank, shared
+
+
 def _repeated_starts(c: dict[str, np.ndarray], raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans of the starts of these stretches that are not the first with their bytes."""
-    data, offsets = _gather(raw, at, c["count"] + WIDTH - 1)
-    owner = np.repeat(np.arange(len(at)), c["count"])
-    inner = np.arange(len(owner)) - np.repeat(np.concatenate(([0], np.cumsum(c["count"])[:-1])), c["count"])
-    place = offsets[owner] + inner
-    hashes = np.empty(len(place), dtype=np.uint64)
-    lo = 0
-    while lo < len(place):
-        base = int(place[lo])
-        hi = int(np.searchsorted(place, base + _BLOCK, "left"))
-        prefix = _prefix(data[base : int(place[hi - 1]) + WIDTH], _BYTE)
-        hashes[lo:hi] = _hash(prefix, place[lo:hi] - base, place[lo:hi] - base + WIDTH)
-        lo = hi
-    # stretches in order of document and place, so that a stable sort by hash puts the first first
-    rank = np.empty(len(at), dtype=np.int64)
-    rank[np.lexsort((c["start"], c["text"], c["doc"]))] = np.arange(len(at))
-    by_rank = np.lexsort((inner, rank[owner]))
-    order = by_rank[np.argsort(hashes[by_rank], kind="stable")]
-    cuts = _runs(hashes[order])
-    head = np.repeat(order[cuts[:-1]], np.diff(cuts))
-    later = order != head
-    order, head = order[later], head[later]
-    if not len(order):
+    """Spans of the starts of these stretches, whole grams, that are not the first with their bytes."""
+    # in order of document and place, so that the first of equal ones comes first at every offset
+    order = np.lexsort((c["start"] + c["before"], c["text"], c["doc"]))
+    c, at = {k: v[order] for k, v in c.items()}, at[order]
+    place, end = at + c["before"], at + c["count"] + WIDTH - 1
+    # grams are told apart by their bytes too
+    words = raw[place[:, None] + np.arange(GRAM)].view("<u8")
+    by_gram = np.lexsort((*words.T, c["gram"]))
+    turns = np.concatenate(([False], (c["gram"][by_gram][1:] != c["gram"][by_gram][:-1]) | (words[by_gram][1:] != words[by_gram][:-1]).any(1)))
+    group = np.empty(len(order), dtype=np.int64)
+    group[by_gram] = np.cumsum(turns)
+    # bytes beyond a stretch's own count as 0: no window of it reaches them
+    reach = np.arange(_SIDE)
+    where = place[:, None] + GRAM + reach
+    right_rank, right_shared = _ranked(np.where(where < end[:, None], raw[np.minimum(where, len(raw) - 1)], 0).astype(np.uint8), group)
+    where = place[:, None] - 1 - reach
+    left_rank, left_shared = _ranked(np.where(where >= at[:, None], raw[np.maximum(where, 0)], 0).astype(np.uint8), group)
+    found = []
+    for before in range(_STARTS):
+        has = np.flatnonzero((c["before"] >= before) & (c["before"] - c["count"] < before))
+        if len(has) < 2:
+            continue
+        left = np.cumsum(left_shared < before)[left_rank[has]]
+        right = np.cumsum(right_shared < WIDTH - GRAM - before)[right_rank[has]]
+        both = left * (len(order) + 1) + right
+        by_string = np.argsort(both, kind="stable")
+        cuts = _runs(both[by_string])
+        head = np.repeat(has[by_string[cuts[:-1]]], np.diff(cuts))
+        who = has[by_string]
+        doc, text, start = c["doc"][who], c["text"][who], c["start"][who] + c["before"][who] - before
+        # one occurrence may come twice, from repeated rows
+        later = (doc != c["doc"][head]) | (text != c["text"][head]) | (start != c["start"][head] + c["before"][head] - before)
+        found.append((doc[later], text[later], start[later]))
+    if not found:
         none = np.empty(0, np.int64)
         return none, np.empty(0, np.uint64), none, none
-    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
-    same = np.empty(len(order), dtype=bool)
-    for k in range(0, len(order), 65536):
-        same[k : k + 65536] = (windows[place[order[k : k + 65536]]] == windows[place[head[k : k + 65536]]]).all(1)
-    if not same.all():
-        raise ArithmeticError("two strings with one hash")
-    who, start = owner[order], c["start"][owner[order]] + inner[order]
-    # one occurrence may come twice, from repeated rows
-    own = (c["doc"][who] == c["doc"][owner[head]]) & (c["text"][who] == c["text"][owner[head]]) & (start == c["start"][owner[head]] + inner[head])
-    who, start = who[~own], start[~own]
-    doc, text = c["doc"][who], c["text"][who]
+    doc, text, start = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, text, doc))
     return _union(doc[order], text[order], start[order], start[order] + WIDTH) if len(order) else (doc, text, start, start)
 
@@ -289,7 +375,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    buckets = int(min(MOST_BUCKETS, max(1, -(-int(size) // BUCKET_BYTES))))
+    buckets = max(1, -(-int(size) // BUCKET_BYTES))
     path = new_path(spark, "repeats")
     blobs = "part int, blob binary"
 
@@ -300,13 +386,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             keys, counts = merge(held)
             where = _bucket(keys, buckets)
             cuts = _runs(where)
-            return _rows([int(where[a]) for a in cuts[:-1]], [pack(keys[a:b], np.minimum(counts[a:b], 2)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            return _rows([int(where[a]) for a in cuts[:-1]], [pack(keys[a:b], counts[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
         for raw, at, _, _ in _texts(batches):
             grams = [s[0] for s in stretches(raw, at)]
             if grams:
                 held.append(np.unique(np.concatenate(grams), return_counts=True))
-            if sum(len(k) for k, _ in held) > 3_000_000:
+            if sum(len(k) for k, _ in held) > FLUSH_GRAMS:
                 yield flush()
                 held = []
         if held:
@@ -314,41 +400,55 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def write_filter(key: tuple, table: pa.Table) -> pa.Table:
         keys, counts = merge([unpack(b) for b in table["blob"].to_pylist()])
+        hot = keys[counts > HOT]
         keys = keys[counts > 1]
         bits = max(64, 1 << int(len(keys) * 12).bit_length())
         table_ = np.zeros(bits // 8, dtype=np.uint8)
         byte, bit = _bit(keys, bits)
         np.bitwise_or.at(table_, byte, np.uint8(1) << bit)
-        write_arrays(f"{path}/grams-{key[0].as_py()}", {"bits": table_})
+        write_arrays(f"{path}/grams-{key[0].as_py()}", {"bits": table_, "hot": hot})
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32())})
 
     docs.mapInArrow(count_grams, blobs).groupBy("part").applyInArrow(write_filter, "part int").collect()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, np.ndarray] = {}  # opened when first needed
+        filters: dict[int, dict[str, np.ndarray]] = {}  # opened when first needed
         held: list[dict[str, np.ndarray]] = []
         data: list[tuple[np.ndarray, np.ndarray]] = []
 
+        def look(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(which grams may occur again, which are hot)."""
+            wanted, hot = np.zeros(len(gram), dtype=bool), np.zeros(len(gram), dtype=bool)
+            where = _bucket(gram, buckets)
+            order = np.argsort(where, kind="stable")
+            cuts = _runs(where[order])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                mine = order[a:b]
+                p = int(where[mine[0]])
+                if p not in filters:
+                    filters[p] = map_arrays(f"{path}/grams-{p}")
+                byte, bit = _bit(gram[mine], len(filters[p]["bits"]) * 8)
+                wanted[mine] = (filters[p]["bits"][byte] >> bit) & 1
+                known = filters[p]["hot"]
+                if len(known):
+                    hot[mine] = known[np.minimum(np.searchsorted(known, gram[mine]), len(known) - 1)] == gram[mine]
+            return wanted, hot
+
         def flush() -> Iterator[pa.RecordBatch]:
-            """Of stretches with one name the first is sent to its bucket, the others are reported."""
+            """Of equal stretches the first is sent to its bucket, the others are reported."""
             c = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             raw = np.concatenate([d for d, _ in data])
             sizes = np.concatenate([np.diff(o) for _, o in data])
             begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            order = np.lexsort((c["start"], c["text"], c["doc"], c["name2"], c["name1"]))
-            cuts = _runs(c["name1"][order], c["name2"][order])
-            first = np.zeros(len(order), dtype=bool)
-            first[order[cuts[:-1]]] = True
-            head = np.empty(len(order), dtype=np.int64)
-            head[order] = np.repeat(order[cuts[:-1]], np.diff(cuts))
-            later = ~first & ((c["doc"] != c["doc"][head]) | (c["text"] != c["text"][head]) | (c["start"] != c["start"][head]))
+            order, head = _equal_stretches(c, raw, begin)
+            later = _elsewhere(c, head)
             spans = _by_document(c["doc"][later], c["text"][later], c["start"][later], c["start"][later] + c["count"][later] + WIDTH - 1, buckets)
             if spans:
                 yield _rows([-1 - p for p, _ in spans], [b for _, b in spans])
-            keep = np.flatnonzero(first)
-            where = _bucket(c["gram"][keep], buckets)
-            keep = keep[np.argsort(where, kind="stable")]
+            keep = order[head[order] == order]
             where = _bucket(c["gram"][keep], buckets)
+            by = np.argsort(where, kind="stable")
+            keep, where = keep[by], where[by]
             cuts = _runs(where)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 at = keep[a:b]
@@ -356,24 +456,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
         gathered = 0
         for raw, at, ids, names in _texts(batches):
-            for gram, name, start, count, before in stretches(raw, at):
-                del before
-                keep = np.zeros(len(gram), dtype=bool)
-                where = _bucket(gram, buckets)
-                for p in np.unique(where):
-                    mine = np.flatnonzero(where == p)
-                    p = int(p)
-                    if p not in filters:
-                        filters[p] = map_arrays(f"{path}/grams-{p}")["bits"]
-                    byte, bit = _bit(gram[mine], len(filters[p]) * 8)
-                    keep[mine] = (filters[p][byte] >> bit) & 1
-                if not keep.any():
-                    continue
-                gram, name, start, count = gram[keep], name[keep], start[keep], count[keep]
+            for gram, name, start, count, before in stretches(raw, at, look):
                 size_ = count + WIDTH - 1
                 row = np.searchsorted(at, start, "right") - 1
                 held.append(
-                    {"gram": gram, "name1": name, "name2": _second_names(raw, start, size_), "doc": ids[row], "text": names[row], "start": start - at[row], "count": count}
+                    {"gram": gram, "name1": name, "name2": _second_names(raw, start, size_), "doc": ids[row], "text": names[row], "start": start - at[row], "count": count, "before": before}
                 )
                 data.append(_gather(raw, start, size_))
                 gathered += len(gram)
