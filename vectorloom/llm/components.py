@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.shared import cut
+from vectorloom.llm.shared import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,17 +13,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round joins every root to its smallest neighbouring root and relabels the links; links
     within a component vanish, so that rounds grow with the logarithm of the longest chain.
+    The result is a written table; the tables of earlier rounds are deleted.
     """
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
+    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id")), "labels")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents")
+        near = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents")
+        parent = near
         for _ in range(2):
             up = parent.select(F.col("a").alias("u"), F.col("p").alias("pp"))
             parent = parent.join(up, F.col("p") == F.col("u")).select("a", F.col("pp").alias("p"))
         parent = cut(parent, "parents")
-        labels = cut(labels.join(parent, F.col("comp") == F.col("a"), "left").select("id", F.coalesce("p", "comp").alias("comp")), "labels")
+        renamed = cut(labels.join(parent, F.col("comp") == F.col("a"), "left").select("id", F.coalesce("p", "comp").alias("comp")), "labels")
         pa, pb = parent.select(F.col("a"), F.col("p").alias("x")), parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
-        edges = cut(edges.join(pa, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        left = cut(edges.join(pa, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(near, parent, labels, edges)
+        labels, edges = renamed, left
+    discard(edges)
     return labels

@@ -8,10 +8,14 @@ the greatest possible difference.
 1. Equal sets are one class, known by its smallest doc_id.
 2. All classes are indexed by segment signatures. Members of a bucket are verified against its
    smallest member only; the links found are contracted to components.
-3. Buckets that still hold several components go through a second index, of exact segments and
-   one-deletion neighbourhoods. There each set, from the true lengths of its lists, chooses by
-   cost which segments to probe exactly, with deletions, or not at all; this keeps sets far from their
-   group out of the group's long lists. What it finds is verified. No pair within a component is made.
+3. Buckets that still hold several components stay open, for sets that have enough of them. Their sets
+   go through a second index, of exact segments and one-deletion neighbourhoods. There each set, from the
+   true lengths of its lists, chooses by cost which segments to probe exactly, with deletions, or not at all.
+4. Sets whose cheapest choice is still long lists are crowded: near copies of one text, or texts around one
+   passage. Sets whose buckets are connected are compared with one of them, the reference, and known by
+   their differences from it. Two sets differ as their differences do, so that what the group has in
+   common is gone; linked ones share one of the rarest elements of their differences, and are looked up by it.
+5. What was brought together is verified exactly. No pair within a component is made.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm import text as tx
@@ -30,6 +34,8 @@ from vectorloom.llm.id_filter import IdFilter
 from vectorloom.llm.shared import cut, discard
 
 _U = np.uint64
+#: Signatures that a task sends on at once.
+BATCH_SIGNATURES = 100_000
 _SEGMENT, _TERM, _SET = _U(0x8CB92BA72F3D8DD7), _U(0xABC98388FB8FAC03), _U(0x139408DCBBF7A44F)
 
 
@@ -157,11 +163,10 @@ def _first_index(docs: DataFrame, words: int, plan: Plan, signed: bool) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bander = Bander(plan)
         for ids, sets in _sets(batches, words):
-            h1 = np.array([int(s.sum()) if len(s) else 0 for s in sets], dtype=np.uint64)
-            h2 = np.array([int(tx.mix(s ^ _SET).sum()) if len(s) else 0 for s in sets], dtype=np.uint64)
             lists: tuple[list, list] = ([], [])
             slacks: tuple[list, list] = ([], [])
-            for s in sets:
+            held, begun = 0, 0
+            for i, s in enumerate(sets):
                 spaces = bander.spaces(len(s)) if len(s) else []
                 for k in (0, 1):
                     if k < len(spaces):
@@ -171,13 +176,20 @@ def _first_index(docs: DataFrame, words: int, plan: Plan, signed: bool) -> DataF
                     else:
                         lists[k].append(s[:0])
                         slacks[k].append(0)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(h1)), pa.array(_signed(h2)),
-                    _lists(lists[0]), pa.array(slacks[0], pa.int32()), _lists(lists[1]), pa.array(slacks[1], pa.int32()),
-                ],
-                ["doc_id", "n", "h1", "h2", "own", "own_slack", "guest", "guest_slack"],
-            )
+                    held += len(lists[k][-1])
+                if held < BATCH_SIGNATURES and i + 1 < len(sets):
+                    continue
+                part = sets[begun : i + 1]
+                h1 = np.array([int(s.sum()) if len(s) else 0 for s in part], dtype=np.uint64)
+                h2 = np.array([int(tx.mix(s ^ _SET).sum()) if len(s) else 0 for s in part], dtype=np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(begun, len(part)), pa.array([len(s) for s in part], pa.int64()), pa.array(_signed(h1)), pa.array(_signed(h2)),
+                        _lists(lists[0]), pa.array(slacks[0], pa.int32()), _lists(lists[1]), pa.array(slacks[1], pa.int32()),
+                    ],
+                    ["doc_id", "n", "h1", "h2", "own", "own_slack", "guest", "guest_slack"],
+                )
+                lists, slacks, held, begun = ([], []), ([], []), 0, i + 1
 
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, own array<long>, own_slack int, guest array<long>, guest_slack int")
 
@@ -206,14 +218,16 @@ def _peeled(shared: DataFrame) -> DataFrame:
     A set may choose which segments it probes, as long as they count what is needed: one that can do
     with segments that no other set has is proved to link with nothing in that space and leaves it.
     """
+    made = None
     for _ in range(PEELS):
         staying = shared.groupBy("rep", "guest").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("s")).where("n > s").select("rep", "guest")
         shared = shared.join(staying, ["rep", "guest"], "left_semi")
         sizes = shared.groupBy("sig").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n"), F.min("guest").alias("g")).where("n > 1 AND NOT g").select("sig", "pivot")
-        shared = cut(shared.join(sizes, "sig").select("sig", "rep", "guest", "slack", "pivot"), "buckets")
-        if _ < PEELS - 1:
-            shared = shared.drop("pivot")
-    return shared
+        before, made = made, cut(shared.join(sizes, "sig").select("sig", "rep", "guest", "slack", "pivot"), "buckets")
+        shared = made.drop("pivot")
+        if before is not None:
+            discard(before)
+    return made
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -222,12 +236,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     Texts are not shuffled: a bit filter of bounded size lets through those that may be in ids, and the
     sets made of these are joined with ids.
     """
+    chosen = IdFilter(ids)
+    shared = chosen.shared
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found, sets in _sets(batches, words):
+        wanted = (b.filter(pa.array(IdFilter.hits(shared.value, b.column(2)))) for b in batches)
+        for found, sets in _sets(wanted, words):
             yield pa.RecordBatch.from_arrays([found, _lists(sets)], ["doc_id", "elements"])
 
-    chosen = IdFilter(ids).among(docs.select("doc_id", "text"), "doc_id")
-    made = chosen.mapInArrow(run, "doc_id long, elements array<long>")
+    made = docs.select("doc_id", "text", chosen.slot(F.col("doc_id")).alias("slot")).mapInArrow(run, "doc_id long, elements array<long>")
     return made.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
 
 
@@ -247,7 +264,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> Data
 
 
 def _second_index(sets: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, comp, size, space, guest, need, seg, kind, sig): exact segments (kind 0) and deletions (kind 1)."""
+    """(doc_id, comp, space, guest, need, seg, kind, sig): exact segments (kind 0) and deletions (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bander = Bander(plan)
@@ -256,7 +273,7 @@ def _second_index(sets: DataFrame, plan: Plan) -> DataFrame:
                 elements = np.asarray(batch.column(1)[i].values).view(np.uint64)
                 n = len(elements)
                 for band, last, guest in bander.spaces(n):
-                    if not batch.column(5 if guest else 4)[i].as_py():
+                    if not batch.column(4 if guest else 3)[i].as_py():
                         continue  # nothing is open in this space
                     m = plan.needed(last)
                     sigs = signatures(elements, band, m, m)
@@ -267,15 +284,13 @@ def _second_index(sets: DataFrame, plan: Plan) -> DataFrame:
                     full = lambda v, kind, k=k: pa.array(np.full(k, v), kind)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            full(batch.column(0)[i].as_py(), pa.int64()), full(batch.column(2)[i].as_py(), pa.int64()), full(batch.column(3)[i].as_py(), pa.int64()),
+                            full(batch.column(0)[i].as_py(), pa.int64()), full(batch.column(2)[i].as_py(), pa.int64()),
                             full(band, pa.int32()), full(guest, pa.bool_()), full(need, pa.int32()), pa.array(seg), pa.array((np.arange(k) >= m).astype(np.int32)), pa.array(_signed(sigs)),
                         ],
-                        ["doc_id", "comp", "size", "space", "guest", "need", "seg", "kind", "sig"],
+                        ["doc_id", "comp", "space", "guest", "need", "seg", "kind", "sig"],
                     )
 
-    return sets.select("doc_id", "elements", "comp", "size", "as_own", "as_guest").mapInArrow(
-        run, "doc_id long, comp long, size long, space int, guest boolean, need int, seg int, kind int, sig long"
-    )
+    return sets.select("doc_id", "elements", "comp", "as_own", "as_guest").mapInArrow(run, "doc_id long, comp long, space int, guest boolean, need int, seg int, kind int, sig long")
 
 
 def allocate(need: int, exact: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -303,59 +318,146 @@ def allocate(need: int, exact: np.ndarray, near: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Members of lists, besides itself, that a set looks at through the second index at most; beyond this it is crowded.
+CROWDED = 32
+
+
 def _probes(rows: DataFrame) -> DataFrame:
     """The rows (sig) that each set probes, by the true lengths of the lists; deep: deletions of others count too.
 
-    rows: the second index with exact_n and near_n, the lengths of the lists of sig.
+    rows: the second index with exact_n and near_n, the lengths of the lists of sig. A set whose cheapest
+    lists are too long gives one row without a sig.
     """
+    names = ["doc_id", "comp", "space", "guest", "kind", "sig", "deep"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(table: pa.Table) -> pa.RecordBatch:
+        def done(table: pa.Table) -> pa.Table:
             seg, kind = table["seg"].to_numpy(), table["kind"].to_numpy()
             exact_n, near_n = table["exact_n"].to_numpy().astype(np.float64), table["near_n"].to_numpy().astype(np.float64)
             m = int(seg.max()) + 1
             exact, near = np.zeros(m), np.zeros(m)
             whole = kind == 0
-            exact[seg[whole]] = exact_n[whole]
-            near[seg[whole]] = exact_n[whole] + near_n[whole]
+            # its own row is in each of its exact lists
+            exact[seg[whole]] = exact_n[whole] - 1
+            near[seg[whole]] = exact_n[whole] - 1 + near_n[whole]
             np.add.at(near, seg[~whole], exact_n[~whole])
-            chosen = allocate(int(table["need"][0].as_py()), exact, near)[seg]
+            chosen = allocate(int(table["need"][0].as_py()), exact, near)
+            if exact[chosen == 1].sum() + near[chosen == 2].sum() > CROWDED:
+                return table.slice(0, 1).select(names[:5]).append_column("sig", pa.array([None], pa.int64())).append_column("deep", pa.array([False]))
+            chosen = chosen[seg]
             keep = (chosen == 2) | ((chosen == 1) & whole)
-            names = ["doc_id", "comp", "size", "space", "guest", "kind", "sig"]
-            out = table.select(names).append_column("deep", pa.array((chosen == 2) & whole)).filter(pa.array(keep))
-            return out.combine_chunks().to_batches()[0] if out.num_rows else None
+            return table.select(names[:6]).append_column("deep", pa.array((chosen == 2) & whole)).filter(pa.array(keep))
+
+        def sent(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if parts:
+                yield from done(pa.Table.from_batches(parts)).combine_chunks().to_batches()
 
         for batch in batches:
-            key = batch.column(0).to_numpy() * 2 + batch.column(4).to_numpy(zero_copy_only=False)
+            key = batch.column(0).to_numpy() * 2 + batch.column(3).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 part = batch.slice(a, b - a)
-                if held and (held[-1].column(0)[0] != part.column(0)[0] or held[-1].column(4)[0] != part.column(4)[0]):
-                    if (made := done(pa.Table.from_batches(held))) is not None:
-                        yield made
+                if held and (held[-1].column(0)[0] != part.column(0)[0] or held[-1].column(3)[0] != part.column(3)[0]):
+                    yield from sent(held)
                     held = []
                 held.append(part)
-        if held and (made := done(pa.Table.from_batches(held))) is not None:
-            yield made
+        yield from sent(held)
 
-    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id", "guest")
-    return ordered.mapInArrow(run, "doc_id long, comp long, size long, space int, guest boolean, kind int, sig long, deep boolean")
+    ordered = rows.select("doc_id", "comp", "space", "guest", "kind", "sig", "need", "seg", "exact_n", "near_n").repartition("doc_id").sortWithinPartitions("doc_id", "guest")
+    return ordered.mapInArrow(run, "doc_id long, comp long, space int, guest boolean, kind int, sig long, deep boolean")
 
 
-def _remaining_pairs(index: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that the second index brings together."""
+def _looked_up(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of different components that the second index brings together, crowded sets (id))."""
     lengths = index.groupBy("sig").agg(F.sum(F.lit(1) - F.col("kind")).alias("exact_n"), F.sum("kind").alias("near_n"))
-    # of two components the smaller one probes; what is in the largest has nothing to probe for
-    most = index.agg(F.max(F.struct("size", "comp")).alias("m")).select("m.*").first()
-    asking = index.where((F.col("size") < most["size"]) | ((F.col("size") == most["size"]) & (F.col("comp") < most["comp"])))
-    probes = _probes(asking.join(lengths, "sig").select("doc_id", "comp", "size", "space", "guest", "need", "seg", "kind", "sig", "exact_n", "near_n"))
-    there = index.select(F.col("doc_id").alias("o"), F.col("comp").alias("o_comp"), F.col("size").alias("o_size"), F.col("guest").alias("o_guest"), F.col("kind").alias("o_kind"), "sig")
-    met = probes.join(there, "sig").where(
-        ((F.col("size") < F.col("o_size")) | ((F.col("size") == F.col("o_size")) & (F.col("comp") < F.col("o_comp")))) & ~(F.col("guest") & F.col("o_guest")) & ((F.col("o_kind") == 0) | F.col("deep"))
+    probes = cut(_probes(index.join(lengths, "sig")), "probes")
+    there = index.select(F.col("doc_id").alias("o"), F.col("comp").alias("o_comp"), F.col("guest").alias("o_guest"), F.col("kind").alias("o_kind"), "sig")
+    met = probes.where("sig IS NOT NULL").join(there, "sig").where((F.col("comp") != F.col("o_comp")) & ~(F.col("guest") & F.col("o_guest")) & ((F.col("o_kind") == 0) | F.col("deep")))
+    pairs = cut(met.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct(), "pairs")
+    crowded = cut(probes.where("sig IS NULL").select(F.col("doc_id").alias("id")).distinct(), "crowded")
+    discard(probes)
+    return pairs, crowded
+
+
+def _still_open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, rep, guest, slack, pivot, comp) of buckets that hold several components besides their pivot.
+
+    Linked sets share more buckets than either may leave out. Each of these is open while the two are in
+    different components, and neither is its pivot, with which all are verified: a set with fewer open
+    buckets has found all its links.
+    """
+    rows = _labelled(shared.where("rep <> pivot"), labels, "rep", "comp")
+    out = None
+    for _ in range(PEELS):
+        open_ = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+        rows = rows.join(open_, "sig", "left_semi")
+        enough = rows.groupBy("rep", "guest").agg(F.count(F.lit(1)).alias("n"), F.max("slack").alias("s")).where("n > s").select("rep", "guest")
+        rows = cut(rows.join(enough, ["rep", "guest"], "left_semi"), "open")
+        if out is not None:
+            discard(out)
+        out = rows
+    return out
+
+
+def _references(still: DataFrame) -> DataFrame:
+    """(id, ref) of the sets in open buckets: ref is, of the pivots connected by buckets, the one that most sets meet."""
+    edges = still.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    groups = components(edges)
+    met = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(groups, F.col("a") == F.col("id"))
+    refs = met.groupBy("comp").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("ref"))
+    return groups.join(refs, "comp").select("id", "ref")
+
+
+def _differences(crowded: DataFrame, refs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """(ref, rep, comp, n, a, linked, u) of crowded sets (id, comp): u is what the set and its reference do not share, a its size."""
+    num = plan.num
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, other = batch.column(3), batch.column(4)
+            for lo in range(0, batch.num_rows, 64):
+                rows = range(lo, min(lo + 64, batch.num_rows))
+                unlike = [np.setxor1d(np.asarray(own[i].values).view(np.uint64), np.asarray(other[i].values).view(np.uint64), True) for i in rows]
+                n = np.array([len(own[i]) for i in rows], dtype=np.int64)
+                a = np.array([len(u) for u in unlike], dtype=np.int64)
+                linked = a * (100 + num) <= (n + np.array([len(other[i]) for i in rows])) * (100 - num)
+                part = batch.slice(lo, len(unlike))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n), pa.array(a), pa.array(linked), _lists(unlike)], ["ref", "rep", "comp", "n", "a", "linked", "u"])
+
+    whose = crowded.join(refs, "id").join(sets, F.col("id") == F.col("doc_id")).select("ref", F.col("id").alias("rep"), "comp", "elements")
+    reference = sets.join(refs.select("ref").distinct(), F.col("doc_id") == F.col("ref"), "left_semi").select(F.col("doc_id").alias("r"), F.col("elements").alias("r_elements"))
+    both = whose.join(reference, F.col("ref") == F.col("r")).select("ref", "rep", "comp", "elements", "r_elements")
+    return both.mapInArrow(run, "ref long, rep long, comp long, n long, a long, linked boolean, u array<long>")
+
+
+def _apart(differences: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs (a, b) of crowded sets of different components that may link, by the rarest elements of their differences.
+
+    Of sets with differences of a >= b elements that are linked, their own difference being h at most, the
+    differences share t = (a + b - h) / 2 elements or more, which is above 0 unless both are linked to the
+    reference. So one of the first a - t + 1 elements of the one is among the first b - t + 1 of the other,
+    in any order that both keep: at most h + 1 and h / 2 + 1.
+    """
+    num = plan.num
+    elements = differences.select("ref", "rep", "comp", "n", "a", F.explode("u").alias("e"))
+    counts = elements.groupBy("ref", "e").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("times > 1")
+    ranked = elements.join(counts, ["ref", "e"], "left").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "e")) - 1)
+    most = F.expr(f"((n + (n * 100) div {num}) * {100 - num}) div {100 + num}")
+    first = cut(ranked.where(F.col("lo") < F.col("hi")).where(F.col("place") <= most).select("ref", "e", "rep", "comp", "n", "a", "place", most.alias("most")), "rare")
+    small = first.where("2 * place <= most").select("ref", "e", F.col("rep").alias("o"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"), F.col("a").alias("o_a"), F.col("place").alias("o_place"))
+    h = f"((n + o_n) * {100 - num}) div {100 + num}"
+    pairs = first.join(small, ["ref", "e"]).where(
+        f"comp <> o_comp AND (o_a < a OR (o_a = a AND o < rep)) AND 2 * place <= a - o_a + {h} AND 2 * o_place <= o_a - a + {h} AND a + o_a > {h}"
     )
-    return met.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
+    out = cut(pairs.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b")).distinct(), "pairs")
+    discard(first)
+    return out
+
+
+#: Rows into which the rows of one class are dealt while they are told its name.
+SALTS = 8
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, threshold: int = 90) -> DataFrame:
@@ -371,38 +473,54 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: int = 90) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = cut(_first_index(docs, words, plan, signed=False).drop("own", "guest"), "sizes")
     key = ["n", "h1", "h2"]
-    classes = first.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = cut(first.select("doc_id", *key, "own_slack", "guest_slack").join(classes, key, "left"), "classes")
-    found = cut(_buckets(_first_index(docs, words, plan, signed=True), members), "buckets")
+    classes = first.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = first.select("doc_id", *key, "own_slack", "guest_slack").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    members = salted.join(classes, [*key, "salt"], "left").drop("salt")
+    members = cut(members.withColumn("rep", F.when(F.col("n") > 0, F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("rep")))), "classes")
     discard(first)
+    found = cut(_buckets(_first_index(docs, words, plan, signed=True), members), "buckets")
     shared = _peeled(found)
     discard(found)
     stars = cut(shared.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("common")), "stars")
     involved = cut(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     sets = cut(_sets_of(docs, involved, words), "sets")
+    discard(involved)
 
     # first the pivot that a set shares most buckets with, then the others that are in other components
     best = cut(stars.groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
-    links = cut(_verified(best, sets, plan), "links")
-    labels = components(links)
+    links = [cut(_verified(best, sets, plan), "links")]
+    labels = components(links[0])
     rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti")
     rest = _labelled(_labelled(rest, labels, "a", "x"), labels, "b", "y").where("x <> y").select("a", "b")
-    links = links.unionByName(cut(_verified(rest, sets, plan), "links"))
-    labels = components(links)
+    links.append(cut(_verified(rest, sets, plan), "links"))
+    discard(labels, best, stars)
+    labels = components(links[0].unionByName(links[1]))
 
     # what buckets with several components leave open
-    named = _labelled(shared.where("rep <> pivot"), labels, "rep", "comp")
-    open_ = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    unsettled = named.join(open_, "sig", "left_semi").groupBy("rep", "comp").agg(F.max(~F.col("guest")).alias("as_own"), F.max("guest").alias("as_guest"))
-    unsettled = cut(unsettled, "unsettled")
+    still = _still_open(shared, labels)
     discard(shared)
-    if not unsettled.isEmpty():
-        sizes = unsettled.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-        chosen = sets.join(unsettled.join(sizes, "comp"), F.col("doc_id") == F.col("rep"))
-        index = cut(_second_index(chosen, plan), "index")
-        pairs = cut(_remaining_pairs(index), "pairs")
-        more = cut(_verified(pairs, sets, plan), "links")
-        labels = components(links.unionByName(more))
+    if not still.isEmpty():
+        open_sets = cut(still.groupBy("rep", "comp").agg(F.max(~F.col("guest")).alias("as_own"), F.max("guest").alias("as_guest")), "unsettled")
+        index = cut(_second_index(sets.join(open_sets, F.col("doc_id") == F.col("rep")), plan), "index")
+        pairs, crowded = _looked_up(index)
+        discard(index)
+        links.append(cut(_verified(pairs, sets, plan), "links"))
+        discard(pairs)
+        if not crowded.isEmpty():
+            refs = cut(_references(still), "references")
+            crowd = crowded.join(open_sets, F.col("id") == F.col("rep")).select("id", "comp")
+            differences = cut(_differences(crowd, refs, sets, plan), "differences")
+            links.append(cut(differences.where("linked AND ref <> rep").select(F.least("ref", "rep").alias("a"), F.greatest("ref", "rep").alias("b")), "links"))
+            pairs = _apart(differences, plan)
+            links.append(cut(_verified(pairs, sets, plan), "links"))
+            discard(pairs, differences, refs)
+        discard(open_sets, crowded, labels)
+        every = links[0]
+        for more in links[1:]:
+            every = every.unionByName(more)
+        labels = components(every)
+    discard(still, sets, *links)
     out = _labelled(members.withColumn("own", F.coalesce("rep", F.when(F.col("n") == 0, F.col("doc_id")))), labels, "own", "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("copies", F.lit(1)).alias("copies"))
 

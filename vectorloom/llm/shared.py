@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
@@ -25,6 +28,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/vectorloom/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def run_once(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside drop their shuffle files when they end: nothing reads them again."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again.
 
@@ -32,22 +46,29 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with run_once(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut() made and nothing reads any more, and lets Spark drop shuffles that are out of use."""
+    """Deletes tables that cut() made and nothing reads any more."""
     for t in tables:
-        drop_table(t.sparkSession, t._cut_path)
-    gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+        drop_path(t.sparkSession, t._cut_path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a path through Spark's own file systems."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores as make it none of df's columns; case does not tell columns apart."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
