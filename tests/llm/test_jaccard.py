@@ -118,3 +118,18 @@ def test_components_and_filter(spark):
     ids = spark.range(0, 1000, 3).toDF("gone")
     rows = spark.range(1000).selectExpr("id AS doc_id", "'x' AS text").unionByName(spark.createDataFrame([(None, "y")], "doc_id long, text string"))
     assert sorted(str(r.doc_id) for r in IdFilter(ids).without(rows, "doc_id").collect()) == sorted([str(i) for i in range(1000) if i % 3] + ["None"])
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    """More links than a task holds: rounds go on until none is left."""
+    import vectorloom.llm.components as cc
+
+    monkeypatch.setattr(cc, "TASK_LINKS", 150)
+    rng = random.Random(2)
+    ids = list(range(600))
+    rng.shuffle(ids)
+    links = list(zip(ids[:500], ids[1:500], strict=False)) + [(i, j) for i, j in zip(ids[500:], ids[501:], strict=False) if rng.random() < 0.7]
+    want = dict(zip(*(x.tolist() for x in cc.smallest_reached(*(np.array(x) for x in zip(*links, strict=True)))), strict=True))
+    assert len(set(want.values())) > 5 and [want[i] for i in ids[:500]] == [min(ids[:500])] * 500
+    got = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == want

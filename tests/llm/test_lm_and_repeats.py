@@ -33,10 +33,10 @@ def brute_scores(docs):
     one = Counter(x for w in train for x in w)
     n, v = sum(one.values()), len(one)
     code = lambda x: float(lm._CODES[lm.encode(np.array([x]))[0]])
-    two = {p: c for p, c in Counter(p for w in train for p in zip([end, *w], w, strict=False)).items() if c >= 2}
+    two = Counter(p for w in train for p in zip([end, *w], w, strict=False))
     alpha2 = {p: code((c - 0.75) / one[p[0]]) for p, c in two.items()}
-    triples = Counter(t for w in train for t in zip([end, *w[:-1]], w, w[1:], strict=False) if t[:2] in two and t[1:] in two)
-    alpha3 = {t: code((c - 0.75) / two[t[:2]]) for t, c in triples.items() if c >= 2}
+    triples = Counter(t for w in train for t in zip([end, *w[:-1]], w, w[1:], strict=False))
+    alpha3 = {t: code((c - 0.75) / two[t[:2]]) for t, c in triples.items()}
     mass2, mass3 = Counter(), Counter()
     for p, a in alpha2.items():
         mass2[p[0]] += a
@@ -63,9 +63,11 @@ def brute_scores(docs):
     return rows
 
 
-@pytest.mark.parametrize("shard_bytes", [300, 1 << 25])
-def test_scores(spark, monkeypatch, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "hot", "slice_bytes"), [(300, 1 << 20, 1 << 22), (1 << 25, 1 << 20, 1 << 22), (300, 30, 500), (1 << 25, 7, 200)])
+def test_scores(spark, monkeypatch, shard_bytes, hot, slice_bytes):
     monkeypatch.setattr(lm, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(lm, "HOT_TOKENS", hot)
+    monkeypatch.setattr(lm, "SLICE_BYTES", slice_bytes)
     rng = random.Random(3)
     docs = [(i, " ".join(rng.choice(["the", "The", "of", "and", "a"] + [f"w{k}" for k in range(60)]) for _ in range(rng.randint(0, 60)))) for i in range(80)]
     docs += [(None, "the of the"), (1000, None), (1001, "")]

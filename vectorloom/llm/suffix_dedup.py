@@ -278,8 +278,8 @@ def _elsewhere(c: dict[str, np.ndarray], head: np.ndarray) -> np.ndarray:
     return (c["doc"] != c["doc"][head]) | (c["text"] != c["text"][head]) | (c["start"] != c["start"][head])
 
 
-def _repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, name of text, start, end) of the repeated spans of one bucket."""
+def _repeats(table: pa.Table, at_once: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, name of text, start, end) of the repeated spans of one bucket, about at_once stretches at a time."""
     c = {k: table[k].combine_chunks().to_numpy() for k in table.column_names if k != "bytes"}
     data = table["bytes"].combine_chunks()
     _, offsets, raw = data.buffers()
@@ -296,7 +296,7 @@ def _repeats(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     groups = _runs(c["gram"][keep]) if len(keep) else np.zeros(1, np.int64)
     i = 0
     while i < len(groups) - 1:
-        j = max(i + 1, int(np.searchsorted(groups, groups[i] + SORT_STRETCHES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(groups, groups[i] + at_once, "right")) - 1)
         piece = keep[groups[i] : groups[j]]
         found.append(_repeated_starts({k: v[piece] for k, v in c.items()}, raw, begin[piece]))
         i = j
@@ -476,7 +476,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         p = key[0].as_py()
         if p < 0:  # spans that are known already
             return pa.table({"part": pa.array([-1 - p] * table.num_rows, pa.int32()), "blob": table["blob"]})
-        spans = _by_document(*_repeats(_tables(table["blob"])), buckets)
+        spans = _by_document(*_repeats(_tables(table["blob"]), SORT_STRETCHES), buckets)
         return pa.table({"part": pa.array([q for q, _ in spans], pa.int32()), "blob": pa.array([b for _, b in spans], pa.binary())})
 
     def write_spans(key: tuple, table: pa.Table) -> pa.Table:
