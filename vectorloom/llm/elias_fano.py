@@ -176,6 +176,12 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
     where.move(part, inner)
 
 
+def drop_file(path: str) -> None:
+    """Deletes a file; what is mapped of it stays until it is let go."""
+    where, inner = _resolve(path)
+    where.delete_file(inner)
+
+
 def map_arrays(path: str) -> dict[str, np.ndarray]:
     """Memory-maps the arrays of a file: in place in a mounted folder, else through a copy that is unlinked at once."""
     where, inner = _resolve(path)

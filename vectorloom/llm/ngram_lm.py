@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm import text as tx
-from vectorloom.llm.elias_fano import EliasFano, map_arrays, write_arrays
+from vectorloom.llm.elias_fano import EliasFano, drop_file, map_arrays, write_arrays
 from vectorloom.llm.shared import cut, new_path, run_once
 
 FOLDS, HELD_OUT = 7, 2
@@ -37,7 +37,7 @@ DISCOUNT = 0.75
 #: Text bytes that one shard is made of.
 SHARD_BYTES = 16 << 20
 #: Tokens of one word that a shard is meant to hold; a word that has more is shared out.
-HOT_TOKENS = 1_000_000
+HOT_TOKENS = 250_000
 #: Text bytes of one slice; a longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
 #: Keys that a task gathers before it sends them.
@@ -151,6 +151,7 @@ class Spec:
     hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hot_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    kept: bool = False
 
     @property
     def words(self) -> int:
@@ -267,12 +268,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def _learn_words(docs: DataFrame) -> Spec:
+def _learn_words(docs: DataFrame, model: str | None) -> Spec:
     """Counts the words of docs (text) and writes them to the shared folder."""
     spark = docs.sparkSession
     with run_once(spark):
         size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    spec = Spec(new_path(spark, "lm"), max(1, -(-int(size) // SHARD_BYTES)))
+    spec = Spec(model or new_path(spark, "lm"), max(1, -(-int(size) // SHARD_BYTES)))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -313,7 +314,7 @@ def _learn_words(docs: DataFrame) -> Spec:
     # hot words have HOT_TOKENS tokens each: at most tokens / HOT_TOKENS of them come here
     hot = np.array([offsets[s] + w for s in sorted(sizes) for w in sizes[s]["hot"]], dtype=np.int64)
     counts = np.array([c for s in sorted(sizes) for c in sizes[s]["counts"]], dtype=np.int64)
-    return Spec(spec.path, spec.shards, tuple(offsets), sum(r["total"] for r in done), hot, counts, -(-counts // HOT_TOKENS))
+    return Spec(spec.path, spec.shards, tuple(offsets), sum(r["total"] for r in done), hot, counts, -(-counts // HOT_TOKENS), model is not None)
 
 
 def _write_slices(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -326,8 +327,11 @@ def _write_slices(docs: DataFrame, spec: Spec) -> DataFrame:
             ids = words.ids(distinct)
             known = ids >= 0
             ids = ids[known]
-            # an unknown word is number len(ids)
-            number = np.where(known, np.cumsum(known) - 1, len(ids)).astype(np.uint32)
+            counts = words.counts(ids)
+            # an unknown word is number len(ids); tokens are written by the rank of their word, commonest first
+            number = np.where(known, np.cumsum(known) - 1, len(ids))
+            rank = np.empty(len(ids) + 1, dtype=np.uint32)
+            rank[_commonest(counts)] = np.arange(len(ids) + 1)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema(list(rows.schema)[:3])) as out:
                 out.write_batch(rows.select([0, 1, 2]))
@@ -335,8 +339,8 @@ def _write_slices(docs: DataFrame, spec: Spec) -> DataFrame:
             write_arrays(
                 f"{spec.path}/slice-{name}",
                 {
-                    "ids": ids.astype(np.uint32), "counts": words.counts(ids), "first": first, "rows": np.frombuffer(sink.getvalue(), np.uint8),
-                    "tokens": np.frombuffer(shrink(number[place]), np.uint8),
+                    "rows": np.frombuffer(sink.getvalue(), np.uint8),
+                    "tokens": np.frombuffer(shrink(_gaps(ids.astype(np.uint64)), counts, np.diff(first), rank[number][place]), np.uint8),
                 },
             )
             yield pa.RecordBatch.from_arrays([pa.array([name])], ["slice"])
@@ -344,6 +348,11 @@ def _write_slices(docs: DataFrame, spec: Spec) -> DataFrame:
     return cut(docs.mapInArrow(run, "slice string"), "slices")
 
 
+def _commonest(counts: np.ndarray) -> np.ndarray:
+    """Numbers of words, commonest first; the number of unknown words last."""
+    return np.append(np.argsort(-counts, kind="stable"), len(counts))
+
+
 class Slice:
     """The tokens of a slice and its distinct pairs and triples, by shard.
 
@@ -353,9 +362,11 @@ class Slice:
 
     def __init__(self, spec: Spec, name: str):
         arrays = map_arrays(f"{spec.path}/slice-{name}")
-        self.ids, self.counts, self.first = arrays["ids"].astype(np.int64), arrays["counts"], arrays["first"]
         self.rows = pa.ipc.open_stream(pa.py_buffer(arrays["rows"])).read_next_batch()
-        self.tokens = grow(arrays["tokens"].tobytes())[0]
+        gaps, self.counts, sizes, ranks = grow(arrays["tokens"].tobytes())
+        self.ids, self.first = _sums(gaps).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+        self.tokens = _commonest(self.counts).astype(np.uint32)[ranks]
+        del arrays, gaps, ranks
         none = len(self.ids)  # number of unknown words
         end = np.uint32(self.tokens[-1])
         self.before = np.empty_like(self.tokens)
@@ -410,7 +421,7 @@ class Slice:
         """(log10 probability of each token by the model, by its count alone)."""
         pair_p, pair_rest = np.zeros(len(self.left), np.uint16), np.full(len(self.left), 65535, np.uint16)
         triple_p = np.zeros(len(self.context), np.uint16)
-        mass = np.zeros(len(self.ids) + 1)
+        left_rest = np.full(len(self.ids) + 1, 65535, np.uint16)
         left = self.left[self.by_shard]
         for s, a, b in self.cuts:
             where = self.by_shard[a:b]
@@ -418,13 +429,13 @@ class Slice:
             p, rest, third_p, used = answers[s]
             pair_p[where], pair_rest[where], triple_p[self.triples_by_shard[c:d]] = p, rest, third_p
             if s < spec.shards:
-                mass[_heads(left[a:b])] = used
+                left_rest[_heads(left[a:b])] = used
         for f, n, w in zip(spec.first, spec.parts, spec.hot, strict=True):
             if _has(self.ids, w):
-                mass[np.searchsorted(self.ids, w)] = sum(float(answers[int(f) + k][3][0]) for k in range(n))
+                left_rest[np.searchsorted(self.ids, w)] = _rest(np.array([sum(float(answers[int(f) + k][3][0]) for k in range(n))]))[0]
         alone = (np.append(self.counts, 0)[self.tokens] + 1) / (spec.tokens + spec.words + 1)
         p = alone.copy()
-        p[self.at] *= _CODES[encode(np.maximum(0.0, 1.0 - mass))][self.before[self.at]]
+        p[self.at] *= _CODES[left_rest][self.before[self.at]]
         p[self.at] += _CODES[pair_p[self.pair]]
         # the pair before a token is its context; a row's first token has none
         starts = np.zeros(len(self.tokens) + 1, dtype=bool)
@@ -436,6 +447,11 @@ class Slice:
         return np.log10(p), np.log10(alone)
 
 
+def _rest(mass: np.ndarray) -> np.ndarray:
+    """Codes of what contexts leave to shorter ones."""
+    return encode(np.maximum(0.0, 1.0 - mass))
+
+
 def _has(ids: np.ndarray, word: int) -> bool:
     at = int(np.searchsorted(ids, word))
     return at < len(ids) and int(ids[at]) == int(word)
@@ -447,7 +463,7 @@ def _heads(values: np.ndarray) -> np.ndarray:
 
 
 def _answer(spec: Spec, s: int, table: pa.Table) -> pa.Table:
-    """Writes the levels of a shard and answers each slice: probabilities and rests of its pairs, probabilities of its triples, masses of its contexts."""
+    """Writes the levels of a shard and answers each slice: probabilities and rests of its pairs, probabilities of its triples; what its first words leave to shorter contexts, or for a hot word the mass that is here."""
     asked = [grow(b.as_py()) for b in table["blob"]]
     pair_keys = [_sums(a[0]) for a in asked]
     bounds = np.concatenate(([0], np.cumsum([len(k) for k in pair_keys])))
@@ -483,9 +499,10 @@ def _answer(spec: Spec, s: int, table: pa.Table) -> pa.Table:
     known = np.flatnonzero((times > 0) & (third != NO_WORD))
     parent = index[above[known]]
     third_codes = encode((times[known] - DISCOUNT) / pair_times[above[known]])
-    rest = encode(np.maximum(0.0, 1.0 - np.bincount(parent, _CODES[third_codes], len(kept))))
+    rest = _rest(np.bincount(parent, _CODES[third_codes], len(kept)))
     write_arrays(spec.file("pairs", s), {**level(context, right[kept], codes, n), "rest": rest})
     write_arrays(spec.file("triples", s), level(parent, third[known], third_codes, len(kept)))
+    del context, codes, parent, third_codes, times, pair_times, known
 
     arrays = map_arrays(spec.file("pairs", s))
     at = find_children(arrays, left - base, right)
@@ -498,19 +515,24 @@ def _answer(spec: Spec, s: int, table: pa.Table) -> pa.Table:
     triple_p = np.zeros(len(triples), np.uint16)
     triple_p[open_[found >= 0]] = arrays["p"][found[found >= 0]]
 
+    if not spec.kept:
+        for name in ("pairs", "triples"):
+            drop_file(spec.file(name, s))
     blobs, begun = [], 0
     for k, size in enumerate(sizes):
         mine, its = pair[bounds[k] : bounds[k + 1]], triple[begun : begun + size]
         begun += size
-        used = mass if s >= spec.shards else mass[_heads(left[mine]) - base]
+        used = mass if s >= spec.shards else _rest(mass)[_heads(left[mine]) - base]
         blobs.append(shrink(pair_p[mine], pair_rest[mine], triple_p[its], used))
     return pa.table({"slice": table["slice"], "shard": pa.array([s] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column | None = None, model: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from the rows for which learn is true; by default from those outside the held-out fold.
+    Its levels stay in the folder model if one is named, once the result has been read; else each goes when
+    its shard has answered.
 
     Tokens are words and one end a text, so that null and empty texts have one token. A null doc_id is in
     training by default. Repeated rows count and score each; an empty table gives none; without training rows
@@ -519,7 +541,7 @@ def lm_scores(docs: DataFrame, learn: Column | None = None) -> DataFrame:
     held_out = is_held_out(F.col("doc_id"))
     learn = ~held_out if learn is None else F.coalesce(learn, F.lit(False))
     rows = docs.select("doc_id", held_out.alias("held_out"), learn.alias("learn"), "text")
-    spec = _learn_words(rows.where("learn").select("text"))
+    spec = _learn_words(rows.where("learn").select("text"), model)
     slices = _write_slices(rows, spec)
     tasks = -(-slices.count() // 2)
     asked = "shard int, slice string, blob binary"
