@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm import text as tx
+from vectorloom.llm.elias_fano import map_arrays, write_arrays
+from vectorloom.llm.shared import new_path, run_once
 
 LEAST, COVERAGE = 4, 0.6
 #: Bytes of benchmark text that a task holds at once; a larger benchmark is gone through in blocks.
@@ -115,6 +117,29 @@ class Index:
         self.bits = max(16, int(len(seeds) * 16).bit_length())
         self.filter = np.zeros(1 << self.bits, dtype=bool)
         self.filter[self._slots(self.seeds)] = True
+        # items too short for a seed are looked for as a whole: by their number of words, hashes and items
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, least):
+            mine = np.flatnonzero(sizes == n)
+            if len(mine):
+                whole_items = np.array([tx.shingles(words[bounds[i] : bounds[i + 1]], n)[0] for i in mine], dtype=np.uint64)
+                order = np.argsort(whole_items, kind="stable")
+                self.short[n] = whole_items[order], mine[order]
+
+    def _short_ones(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, words, 1, words) of the items too short for a seed whose words stand in a row in a text."""
+        out = []
+        for n, (hashes, items) in self.short.items():
+            grams, first = tx.all_shingles(words, bounds, n)
+            at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, grams), len(hashes) - 1)] == grams)
+            rows = np.searchsorted(first, at, "right") - 1
+            fits = np.diff(bounds)[rows] >= n  # fewer words than n make a gram of their own
+            # of a gram that a text has many times one place is enough
+            found = np.unique(np.stack((rows[fits].astype(np.uint64), grams[at[fits]])), axis=1)
+            for row, gram in found.T:
+                a, b = np.searchsorted(hashes, gram, "left"), np.searchsorted(hashes, gram, "right")
+                out += [(int(row), int(items[k]), n, 1, n) for k in range(a, b)]
+        return out
 
     def _slots(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -156,7 +181,7 @@ class Index:
                 matched = sum(n for _, _, n in made)
                 if matched >= coverage * size:
                     out.append((row, int(item[c]), matched, len(made), max(n for _, _, n in made)))
-        return out
+        return out + self._short_ones(words, bounds) if self.short else out
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -171,36 +196,63 @@ def _stretches(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
         yield int(part[0]), int(part[-1]) + n
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """The items in blocks of about BLOCK_BYTES."""
+def _write_blocks(benchmark: DataFrame) -> list[str]:
+    """Writes the items in blocks of about BLOCK_BYTES, each by one task, to the shared folder; a name a block comes to the driver."""
+    spark = benchmark.sparkSession
     rows = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    with run_once(spark):
+        total = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     count = -(-int(total) // BLOCK_BYTES)
-    for k in range(count):
-        block = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        got = block.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        yield got["item_id"].combine_chunks(), got["text"].combine_chunks()
+    path = new_path(spark, "benchmark")
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        name = f"{path}/{key[0].as_py()}"
+        sink = pa.BufferOutputStream()
+        table = table.select(["item_id", "text"]).sort_by([("item_id", "ascending"), ("text", "ascending")])
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        write_arrays(name, {"items": np.frombuffer(sink.getvalue(), np.uint8)})
+        return pa.table({"name": [name]})
+
+    if not count:
+        return []
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int"))
+    with run_once(spark):
+        return sorted(r["name"] for r in dealt.groupBy("block").applyInArrow(write, "name string").collect())
+
+
+class _Blocks:
+    """The indexes of the written blocks, one after another; a single one is made once a task."""
+
+    def __init__(self, places: list[str], least: int):
+        self.places, self.least = places, least
+        self.only = self._open(places[0]) if len(places) == 1 else None
+
+    def _open(self, place: str) -> Index:
+        table = pa.ipc.open_stream(pa.py_buffer(map_arrays(place)["items"])).read_all()
+        return Index(table["item_id"].combine_chunks(), table["text"].combine_chunks(), self.least)
+
+    def __iter__(self) -> Iterator[Index]:
+        return iter([self.only]) if self.only else (self._open(p) for p in self.places)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
     """The contained items of every row of docs: doc_id, item_id, item_words, matched, coverage, tiles, longest.
 
     Clean rows give none. Words are compared without case (ASCII) and punctuation. Null and empty texts
-    match nothing, items of fewer than ``least`` words neither; repeated rows and items each give their
-    rows; an empty table on either side gives an empty result; other columns are ignored.
+    match nothing, items without words neither; one of fewer than ``least`` words is contained where all of
+    them stand in a row; repeated rows and items each give their rows; an empty table on either side gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, item_words long, matched long, coverage double, tiles long, longest long"
     names = ["doc_id", "item_id", "item_words", "matched", "coverage", "tiles", "longest"]
-    parts = []
-    for ids, texts in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value, least)
-            for batch in batches:
-                for lo, hi in _slices(batch.column(1)):
+    places = _write_blocks(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(places, least)
+        for batch in batches:
+            for lo, hi in _slices(batch.column(1)):
+                for index in blocks:
                     found = index.search(batch.column(1).slice(lo, hi - lo), coverage)
                     if not found:
                         continue
@@ -213,29 +265,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                         names,
                     )
 
-        parts.append(docs.select("doc_id", "text").mapInArrow(run, schema))
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = LEAST) -> DataFrame:
-    """The rows of docs, all columns, that contain no item of the benchmark."""
+    """The rows of docs, all columns, that contain no item of the benchmark.
+
+    Null and empty texts contain nothing and stay; repeated rows share their fate; an empty benchmark keeps
+    every row, an empty table stays empty.
+    """
     column = docs.columns.index("text")
-    for ids, texts in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value, least)
-            for batch in batches:
-                for lo, hi in _slices(batch.column(column)):
-                    keep = np.ones(hi - lo, dtype=bool)
+    places = _write_blocks(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(places, least)
+        for batch in batches:
+            for lo, hi in _slices(batch.column(column)):
+                keep = np.ones(hi - lo, dtype=bool)
+                for index in blocks:
                     keep[[f[0] for f in index.search(batch.column(column).slice(lo, hi - lo), coverage)]] = False
-                    yield batch.slice(lo, hi - lo).filter(pa.array(keep))
+                yield batch.slice(lo, hi - lo).filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def _slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
