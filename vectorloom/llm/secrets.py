@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.shared import cut
+from vectorloom.llm.shared import cut, free_name
 
 # The base kinds, in order, as (name, pattern, least length of the group, group).
 BASE_KINDS = (
@@ -53,6 +53,29 @@ _SPAN = "array<struct<s:int,e:int,tok:string>>"
 _CHUNK = 256
 
 
+def _folded(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step(state, item) -> (state, element or null) gives along an array: the elements, as an array of type kind.
+
+    Elements are gathered chunk by chunk, so that a long array is not copied for each of them.
+    """
+    start = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    none, nested = F.from_json(F.lit("[]"), kind), F.from_json(F.lit("[]"), f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        after, made = step(acc["at"], item)
+        return _let(F.struct(after.alias("after"), made.alias("made")), lambda x: start(x["after"], F.when(x["made"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(x["made"])))))
+
+    def over(all_items: Column) -> Column:
+        def chunk(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(all_items, k, _CHUNK), start(acc["at"], none), one)
+            return _let(inner, lambda x: start(x["at"], F.concat(acc["out"], F.array(x["out"]))))
+
+        firsts = F.when(F.size(all_items) > 0, F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(_CHUNK))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.aggregate(firsts, start(state, nested), chunk, lambda acc: acc["out"]))
+
+    return _let(items, over)
+
+
 def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
     """Array of (s, e, tok) of the leftmost non-overlapping matches, in code points, end exclusive.
 
@@ -64,26 +87,14 @@ def spans(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Colum
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda gap, tok: F.struct(F.char_length(gap).alias("gap"), F.char_length(tok).alias("n"), tok.alias("tok")),
     )
-    start = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        s = acc["at"] + p["gap"]
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        s = at + p["gap"]
         e = s + F.coalesce(p["n"], F.lit(0))
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), p["tok"].alias("tok")))
-        return start(e, F.when(p["tok"].isNotNull() & keep(p["tok"]), F.concat(acc["out"], one)).otherwise(acc["out"]))
+        return e, F.when(p["tok"].isNotNull() & keep(p["tok"]), F.struct(s.alias("s"), e.alias("e"), p["tok"].alias("tok")))
 
-    none = F.from_json(F.lit("[]"), _SPAN)
-    nested = F.from_json(F.lit("[]"), f"array<{_SPAN}>")
-
-    def located(all_pieces: Column) -> Column:
-        def chunk(acc: Column, k: Column) -> Column:
-            inner = F.aggregate(F.slice(all_pieces, k, _CHUNK), start(acc["at"], none), step)
-            return _let(inner, lambda x: start(x["at"], F.concat(acc["out"], F.array(x["out"]))))
-
-        firsts = F.sequence(F.lit(1), F.size(all_pieces), F.lit(_CHUNK))
-        return F.flatten(F.aggregate(firsts, start(F.lit(0), nested), chunk, lambda acc: acc["out"]))
-
-    return F.when(F.regexp_like(text, F.lit(pattern)), _let(pieces, located)).otherwise(none)
+    located = lambda all_pieces: _folded(all_pieces, F.lit(0), step, _SPAN)
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(pieces, located)).otherwise(F.from_json(F.lit("[]"), _SPAN))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -197,9 +208,9 @@ def _step(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * _STEPS), F.lit(_DEEPEST)).cast("int")
 
 
-def _cutoffs(scanned: DataFrame, rate: float) -> dict[int, int]:
+def _cutoffs(cands: DataFrame, rate: float) -> dict[int, int]:
     """For each length class the step from which tokens are reported (Benjamini-Hochberg over steps)."""
-    tokens = scanned.select(F.explode("cands").alias("c")).select(_length_class(F.col("c.n")).alias("size"), _step(F.col("c.p")).alias("step"))
+    tokens = cands.select(F.explode("cands").alias("c")).select(_length_class(F.col("c.n")).alias("size"), _step(F.col("c.p")).alias("step"))
     counts = tokens.groupBy("size", "step").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("size").orderBy(F.col("step").desc())
     counts = counts.withColumn("found", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("size")))
@@ -208,30 +219,56 @@ def _cutoffs(scanned: DataFrame, rate: float) -> dict[int, int]:
     return {r["size"]: r["step"] for r in fits.groupBy("size").agg(F.min("step").alias("step")).collect()}
 
 
-def _with_spans(rows: DataFrame) -> DataFrame:
-    """Adds base (s, k, e) and cands (s, e, n, p) to rows, from the text in _text."""
-    text = F.col("_text")
+def _clear(base: Column, tokens: Column) -> Column:
+    """The tokens that no base span overlaps, in one sweep over both in order of their starts."""
+    none = F.lit(None)
+    event = lambda s, e, tok: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"), tok.cast("string").alias("tok"))
+    # at one start base spans come first (a null sorts before a text); an end without a text comes last
+    events = F.array_sort(F.concat(F.transform(base, lambda b: event(b["s"], b["e"], none)), F.transform(tokens, lambda t: event(t["s"], t["e"], t["tok"]))))
+    events = F.concat(events, F.array(event(F.lit(2**31 - 1), F.lit(2**31 - 1), none)))
+    held = "struct<s:int,e:int,tok:string>"
+    state = F.struct(F.lit(0).alias("reach"), F.lit(None).cast(held).alias("held"))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        # a token waits until something starts at or after its end; a base span that starts earlier drops it
+        over = at["held"].isNotNull() & (x["s"] >= at["held"]["e"])
+        waits = F.when(at["held"].isNotNull() & ~over & x["tok"].isNotNull(), at["held"])
+        after = F.struct(
+            F.when(x["tok"].isNull(), F.greatest(at["reach"], x["e"])).otherwise(at["reach"]).alias("reach"),
+            F.when(x["tok"].isNotNull() & (x["s"] >= at["reach"]), x).otherwise(waits).cast(held).alias("held"),
+        )
+        return after, F.when(over, at["held"])
+
+    return _folded(events, state, step, _SPAN)
+
+
+def _spans_of(text: Column) -> Column:
+    """Struct of base (s, k, e) and cands (s, e, n, p) of a text."""
+
+    def listed(name: str, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(_ORDER[name]).alias("k"), x["e"].alias("e")))
+
+    kinds = []
     for name, pattern, least, group in BASE_KINDS:
         length = (lambda p, g: lambda tok: F.char_length(F.regexp_extract(tok, p, g)))(pattern, group) if group else F.char_length
-        rows = rows.withColumn(f"_{name}", spans(text, _FAST.get(name, pattern), lambda tok, f=length, m=least: f(tok) >= m))
-    rows = rows.withColumn("_random", spans(text, TOKEN, lambda tok: F.lit(True)))
+        kinds.append(listed(name, spans(text, _FAST.get(name, pattern), lambda tok, f=length, m=least: f(tok) >= m)))
+    found = F.struct(F.array_sort(F.concat(*kinds)).alias("base"), spans(text, TOKEN, lambda tok: F.lit(True)).alias("tokens"))
 
-    def listed(name: str) -> Column:
-        return F.transform(F.col(f"_{name}"), lambda x: F.struct(x["s"].alias("s"), F.lit(_ORDER[name]).alias("k"), x["e"].alias("e")))
+    def judged(x: Column) -> Column:
+        clear = F.when(F.size(x["tokens"]) == 0, x["tokens"]).when(F.size(x["base"]) == 0, x["tokens"]).otherwise(_clear(x["base"], x["tokens"]))
+        cands = F.transform(clear, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), battery(t["tok"]).alias("b")))
+        cands = F.filter(cands, lambda t: t["b"]["enc"].isNotNull())
+        cands = F.transform(cands, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["b"]["n"].alias("n"), F.when(t["b"]["uniform"], t["b"]["p"]).otherwise(F.lit(1.0)).alias("p")))
+        return F.struct(x["base"].alias("base"), cands.alias("cands"))
 
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[listed(k[0]) for k in BASE_KINDS])))
-    clear = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    cands = F.transform(F.filter("_random", clear), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), battery(x["tok"]).alias("b")))
-    cands = F.filter(cands, lambda x: x["b"]["enc"].isNotNull())
-    cands = F.transform(cands, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["b"]["n"].alias("n"), F.when(x["b"]["uniform"], x["b"]["p"]).otherwise(F.lit(1.0)).alias("p")))
-    return rows.withColumn("cands", cands).drop(*[f"_{k}" for k in _ORDER])
+    return _let(found, judged)
 
 
-def _every(steps: dict[int, int]) -> Column:
+def _every(base: Column, cands: Column, steps: dict[int, int]) -> Column:
     """All spans (s, k, e): base ones, and candidates that reach their class's step."""
     passes = lambda x: F.coalesce(_step(x["p"]) >= _needed(steps, _length_class(x["n"])), F.lit(False))
-    extra = F.transform(F.filter("cands", passes), lambda x: F.struct(x["s"].alias("s"), F.lit(_ORDER["random"]).alias("k"), x["e"].alias("e")))
-    return F.array_sort(F.concat("base", extra))
+    extra = F.transform(F.filter(cands, passes), lambda x: F.struct(x["s"].alias("s"), F.lit(_ORDER["random"]).alias("k"), x["e"].alias("e")))
+    return F.array_sort(F.concat(base, extra))
 
 
 _ORDER = {name: i for i, name in enumerate([*[k[0] for k in BASE_KINDS], "random"])}
@@ -245,14 +282,14 @@ def scan_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFra
     rows each get a row; a null doc_id stays null; an empty table gives none; other columns are ignored.
     """
     base_names = [k[0] for k in BASE_KINDS]
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    rows = docs.select("doc_id", _spans_of(F.coalesce(F.col("text"), F.lit(""))).alias("x"))
     # one pass over the texts; what follows reads this small table
-    scanned = cut(_with_spans(rows).select("doc_id", "base", "cands"), "secrets")
+    scanned = cut(rows.select("doc_id", "x.base", "x.cands"), "secrets")
     steps = _cutoffs(scanned, rate)
     names = F.array(*[F.lit(n) for n in _ORDER])
     spelled = lambda col: F.array_join(F.transform(col, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"], x["e"])), ",")
     count = lambda col, name: F.size(F.filter(col, lambda x: x["k"] == _ORDER[name])).cast("long")
-    return scanned.withColumn("every", _every(steps)).select(
+    return scanned.withColumn("every", _every(F.col("base"), F.col("cands"), steps)).select(
         "doc_id",
         *[count(F.col("base"), n).alias(f"n_{n}") for n in base_names],
         F.sha2(spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"),
@@ -275,30 +312,25 @@ MASK = "[secret]"
 def redact_secrets(docs: DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> DataFrame:
     """docs, all columns, with every span of a secret in text replaced by ``[secret]`` and n_chars kept true.
 
-    Overlapping spans give one mask. Null texts stay null; rows are never dropped.
+    Overlapping spans give one mask. Null texts stay null; rows are never dropped, repeated ones stay; an
+    empty table stays empty. Columns of any other name are kept as they are. Texts are scanned once: the rows
+    are written with their spans, of which the cut-offs are made, and masked from there.
     """
-    rows = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    steps = _cutoffs(cut(_with_spans(rows.select("_text")).select("cands").where(F.size("cands") > 0), "secrets"), rate)
-    marked = _with_spans(rows).withColumn("_every", _every(steps))
-    text = F.col("_text")
-    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return (
-            F.when(x["e"] <= acc["at"], acc)
-            .when(x["s"] < acc["at"], state(x["e"], acc["out"]))
-            .otherwise(state(x["e"], F.concat(acc["out"], F.array(gap, F.lit(MASK)))))
-        )
-
-    pieces = F.aggregate(
-        F.col("_every"),
-        state(F.lit(0), F.array().cast("array<string>")),
-        step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))),
-    )
-    changed = F.when(F.size("_every") > 0, pieces).otherwise(F.col("text"))
+    found, full = free_name(docs, "_found"), free_name(docs, "_text")
+    marked = cut(docs.withColumn(found, _spans_of(F.coalesce(F.col("text"), F.lit("")))), "marked")
+    steps = _cutoffs(marked.select(F.col(f"{found}.cands").alias("cands")), rate)
+    marked = marked.withColumn(full, F.coalesce(F.col("text"), F.lit(""))).withColumn(found, _every(F.col(f"{found}.base"), F.col(f"{found}.cands"), steps))
+    text, masked = F.col(full), F.size(F.col(found)) > 0
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        # what stands before a span and its mask; nothing more where spans overlap
+        gap = F.concat(F.substring(text, at + 1, x["s"] - at), F.lit(MASK))
+        return F.greatest(at, x["e"]), F.when(x["s"] >= at, F.struct(gap.alias("piece"))).when(x["s"] < at, F.lit(None))
+
+    pieces = _folded(F.col(found), F.lit(0), step, "array<struct<piece:string>>")
+    rest = F.expr(f"substring(`{full}`, array_max(transform(`{found}`, x -> x.e)) + 1, char_length(`{full}`))")
+    changed = F.when(masked, F.concat(F.array_join(F.transform(pieces, lambda x: x["piece"]), ""), rest)).otherwise(F.col("text"))
     out = marked.withColumn("text", changed)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_every") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(masked, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
