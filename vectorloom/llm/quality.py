@@ -198,10 +198,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
                 at += len(part)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, quality double, x array<double>").toArrow()
+    made = rows.mapInArrow(run, f"doc_id {kind}, quality double, x array<double>")
+    # ids that stand in several rows give more rows than labels: the limit is in the plan
+    found = made.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "quality", "x").limit(sample_rows).toArrow()
     x = np.array(found["x"].to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
     y = (found["quality"].to_numpy() > 0).astype(np.float64)
-    order = np.lexsort((*x.T, y, found["doc_id"].to_numpy()))[:sample_rows] if len(y) else np.zeros(0, int)
+    order = np.lexsort((*x.T, y, found["doc_id"].to_numpy())) if len(y) else np.zeros(0, int)
     return fit(x[order], y[order])
 
 
@@ -226,7 +228,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose text scores at least threshold."""
+    """The rows of docs, all columns, whose text scores at least threshold.
+
+    Equal texts share their fate, repeated rows too; null and empty texts are scored like others. Without usable
+    labels every text has one score, the prior's 0.5, and stays. An empty table stays empty.
+    """
     model = fit_quality(docs, labels)
     column = docs.columns.index("text")
 
