@@ -4,8 +4,9 @@ Every source is a queue of its documents in a shuffled order, repeated up to ``r
 document instance ends at virtual time (words of its source up to and with it) / (target words of
 the source). Instances are taken in order of virtual time until the word budget is reached.
 
-No task ever sorts a whole source: prefix sums run over buckets of the shuffled order, then within
-each bucket, and the budget's cut is searched in the one time bucket that holds it.
+No task ever sorts a whole source: prefix sums run over buckets of the shuffled order, then within each
+bucket. The queue of all instances is range-sorted by virtual time, written in its ranges, and cut off where
+the words of the ranges before and the running words within a range exceed the budget.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.llm.shared import cut
+from vectorloom.llm.shared import cut, discard
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 CYCLE = (1, 2, 3)
-#: Rows that one bucket of a window is meant to hold.
-BUCKET_ROWS = 4096
+#: Rows that one bucket of a window is meant to hold, and instances that one range of the queue is.
+BUCKET_ROWS, RANGE_ROWS = 4096, 100_000
 
 
 def count_words(text: Column) -> Column:
@@ -70,16 +71,17 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, repeats: int =
     rows are shuffled like others; texts without words are never taken; an empty table gives none.
     Other columns of docs are not read.
     """
-    # the text is scanned once; everything below runs on this small table
-    sizes = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "sized")
+    # the text is scanned once; everything below runs on this small table. Rows without an id are shuffled by text
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), key).cast("binary"))
+    sizes = cut(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), order.alias("_order")), "sized")
     stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("total")).first()
     digits = max(0, math.ceil(math.log(max(1, stats["n"]) / BUCKET_ROWS, 16))) if stats["n"] else 0
     total = int(stats["total"])
     targets = source_targets(sizes, cycle, repeats)
 
     # each row's place in its source's queue
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    placed = sizes.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, digits) if digits else F.lit(""))
+    placed = sizes.withColumn("_bucket", F.substring("_order", 1, digits) if digits else F.lit(""))
     sums = placed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     running = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(running), F.lit(0)).alias("_offset"))
@@ -90,34 +92,27 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = CYCLE, repeats: int =
     placed = (
         placed.withColumn("_run", F.sum("size").over(within))
         .join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn("_end", F.col("_run") + F.col("_offset"))
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("_run") + F.col("_offset")).alias("_end"))
     )
+    placed = cut(placed, "placed")
+    discard(sizes)
     live = (F.col("size") > 0) & (F.col("target") > 0)
 
     def ends_at(epoch: int) -> Column:
         return (F.col("source_size") * epoch + F.col("_end")).cast("double") / F.col("target")
 
-    def stamped(frame: DataFrame) -> DataFrame:
-        return frame.where(live).select("size", F.explode(F.array(*[ends_at(e) for e in range(repeats)])).alias("time"))
-
-    # the last virtual time within the budget
-    slots = max(1, stats["n"] // BUCKET_ROWS)
-    slot = F.floor(F.least(F.col("time"), F.lit(2.0)) * slots)
-    by_slot = stamped(placed).groupBy(slot.alias("slot")).agg(F.sum("size").alias("words"))
-    up_to = Window.partitionBy(F.lit(0)).orderBy("slot")
-    over = by_slot.withColumn("upto", F.sum("words").over(up_to)).where(F.col("upto") > total)
-    found = over.orderBy("slot").first()
-    if found is None:
-        last = float("inf")
-    else:
-        room = total - (int(found["upto"]) - int(found["words"]))
-        inside = stamped(placed).where(slot == int(found["slot"]))
-        by_time = Window.partitionBy(F.lit(0)).orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        fits = inside.groupBy("time").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(by_time)).where(F.col("upto") <= room)
-        best = fits.agg(F.max("time").alias("last")).first()["last"]
-        if best is None:
-            best = stamped(placed).where(slot < int(found["slot"])).agg(F.max("time").alias("last")).first()["last"]
-        last = best if best is not None else -1.0
+    # the queue: a range holds all instances of its virtual times
+    instances = placed.where(live).select("size", F.explode(F.array(*[ends_at(e) for e in range(repeats)])).alias("time"))
+    ranges = max(1, -(-stats["n"] * repeats // RANGE_ROWS))
+    queue = cut(instances.repartitionByRange(ranges, "time").select("size", "time", F.spark_partition_id().alias("range")), "queue")
+    by_range = queue.groupBy("range").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    opened = by_range.select(F.col("range").alias("_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_before")).where(F.col("_before") <= total)
+    by_time = Window.partitionBy("range").orderBy("time").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = queue.join(opened, F.col("range") == F.col("_range")).select("time", (F.col("_before") + F.sum("size").over(by_time)).alias("upto"))
+    last = upto.where(F.col("upto") <= total).agg(F.max("time").alias("last")).first()["last"]
+    discard(queue)
+    last = -1.0 if last is None else last
     times = sum((F.when(ends_at(e) <= F.lit(last), 1).otherwise(0) for e in range(repeats)), F.lit(0))
     taken = F.when(live, F.col("size") * times).otherwise(F.lit(0)).cast("long")
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
