@@ -50,12 +50,61 @@ CUES = {
 _CUE = {word: cue for cue, words in CUES.items() for word in words.split()}
 _ORDER = list(CUES)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+_ATTR = re.compile(r"([^\s=\"'<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str | None, str]]:
+    """(start, end, whether an end tag, tag in small letters, attributes) of the markup of a page; comments and the like have no tag.
+
+    Goes over the page once: where a quote or a tag is never closed, this is found out once and kept in mind.
+    """
+    unclosed = {'"': len(page), "'": len(page)}  # from here on no such quote follows
+    at = page.find("<")
+    while at >= 0:
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, None, ""
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            yield at, end, False, None, ""
+        elif m := _OPEN.match(page, at):
+            closing, tag = bool(m[1]), m[2].lower()
+            if tag in _RAW_END and not closing:
+                end = page.find(">", m.end())
+                if end < 0:
+                    return
+                found = _RAW_END[tag].search(page, end + 1)
+                end = found.end() if found else len(page)
+                yield at, end, False, None, ""
+            else:
+                i = m.end()
+                while end < 0:
+                    stop = _STOP.search(page, i)
+                    if stop is None:
+                        return  # no > is left: the rest is text
+                    quote = stop[0]
+                    if quote == ">":
+                        end = stop.end()
+                        break
+                    close = page.find(quote, stop.end()) if stop.start() < unclosed[quote] else -1
+                    if close < 0:
+                        # the tag ends at the next > as if the quote were none
+                        unclosed[quote] = min(unclosed[quote], stop.start())
+                        end = page.find(">", stop.end()) + 1
+                        if not end:
+                            return
+                    else:
+                        i = close + 1
+                yield at, end, closing, tag, page[m.end() : end - 1]
+        at = page.find("<", max(end, at + 1))
+
+
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -78,9 +127,9 @@ def _cue(attrs: str) -> tuple[str, bool]:
         return "none", False
     found: set[str] = set()
     hidden = False
-    for name, a, b, c, flag in _ATTR.findall(attrs):
+    for name, a, b, c in _ATTR.findall(attrs):
         value, name = a or b or c, name.lower()
-        if flag or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             hidden = True
         elif name in ("class", "id", "role", "aria-label", "itemprop", "data-role"):
             found.update(_CUE[w] for w in map(str.lower, _NAME.findall(value)) if w in _CUE)
@@ -93,8 +142,10 @@ def _cue(attrs: str) -> tuple[str, bool]:
 def parse(page: str) -> list[Node]:
     """The tree of block elements and runs of text (tag ``#``), in page order; node 0 is the root."""
     nodes = [Node("#root", -1)]
-    # open elements: (tag, its node, unseen)
+    # open elements: (tag, its node, unseen); where each tag and any block stands among them
     stack: list[tuple[str, int, bool]] = [("#root", 0, False)]
+    open_at: dict[str, list[int]] = {}
+    blocks_at: list[int] = []
     run: Node | None = None
     links = 0
 
@@ -118,29 +169,35 @@ def parse(page: str) -> list[Node]:
     def close(k: int) -> None:
         nonlocal run, links
         for tag, _, _ in stack[k:]:
+            open_at[tag].pop()
             if tag in BLOCKS:
                 run = None
+                blocks_at.pop()
             elif tag == "a":
                 links -= 1
         del stack[k:]
 
+    def opened(tag: str, node: int, unseen: bool) -> None:
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            blocks_at.append(len(stack))
+        stack.append((tag, node, unseen))
+
+    def nearest(tags: set[str]) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, closing, tag, attrs in tokens(page):
+        if start > at:
+            say(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag in BLOCKS:
-                    run = None
+        if closing:
+            if open_at.get(tag):
+                close(open_at[tag][-1])
+            elif tag in BLOCKS:
+                run = None
             continue
         if tag == "br":
             say(" ")
@@ -153,22 +210,15 @@ def parse(page: str) -> list[Node]:
         if block:
             run = None
             if tag in _CLOSES:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in _CLOSES[tag]:
-                        close(k)
-                        if tag in ("li", "dt", "dd"):
-                            break
-                    elif stack[k][0] in _SCOPE[tag]:
-                        break
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
+                while (k := nearest(_CLOSES[tag])) > nearest(_SCOPE[tag]):
                     close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        cue, hidden = _cue(m["attrs"])
+                    if tag in ("li", "dt", "dd"):
+                        break
+            if blocks_at and stack[blocks_at[-1]][0] == "p":
+                close(blocks_at[-1])
+        cue, hidden = _cue(attrs)
         unseen = stack[-1][2] or hidden or tag in UNSEEN
-        if m["attrs"].rstrip().endswith("/") and not block:
+        if attrs.rstrip().endswith("/") and not block:
             continue
         if tag == "a":
             links += 1
@@ -179,9 +229,9 @@ def parse(page: str) -> list[Node]:
                 run = None
             nodes.append(Node(tag, up, cue, heading=nodes[up].heading or tag in HEADINGS, inside=nodes[up].inside or tag in ("article", "main")))
             nodes[up].children.append(len(nodes) - 1)
-            stack.append((tag if block else tag, len(nodes) - 1, unseen))
+            opened(tag, len(nodes) - 1, unseen)
         else:
-            stack.append((tag, stack[-1][1], unseen))
+            opened(tag, stack[-1][1], unseen)
     say(page[at:])
     for i in range(len(nodes) - 1, 0, -1):
         if nodes[i].tag != "#":
@@ -334,7 +384,8 @@ def labelled_pages(count: int = 400, seed: int = 7) -> list[tuple[str, str]]:
             if kind < 0.7:
                 if rng.random() < 0.3:
                     text += f" <a href='/x'>{words(1, 2)}</a> {words(1, 8)}"
-                out.append(f"<p>{text}</p>")
+                # now and then all of a paragraph is a link
+                out.append(f"<p><a href='/x'>{mark}{words(1, 14)}</a></p>" if rng.random() < 0.08 else f"<p>{text}</p>")
             elif kind < 0.78:
                 out.append(f"<h2>{mark}{words(1, 8)}</h2>")
             elif kind < 0.86:
