@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.llm import text as tx
+from vectorloom.llm.shared import cut
 
 SHINGLE_WORDS = 5
 K = 128
@@ -97,19 +98,43 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = K) -> DataFra
 
 
 #: Bytes of text that one range of neighbours is meant to hold.
-RANGE_BYTES = 16 << 20
-#: No more ranges than this are made; above it they hold more.
-MOST_RANGES = 4096
+RANGE_BYTES = 4 << 20
+#: Quantiles of doc_id that are looked for; beyond them the ids between two are cut evenly.
+QUANTILES = 4096
+#: Ranges whose edges are broadcast, of some 30 bytes each; more are joined.
+BROADCAST_RANGES = 100_000
 
 
-def _ranges(docs: DataFrame) -> list[int]:
-    """Bounds that split doc_id into ranges of about RANGE_BYTES of text: at most MOST_RANGES numbers."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n")).first()
-    parts = min(MOST_RANGES, max(1, -(-int(size["b"] or 0) // RANGE_BYTES)))
-    if parts == 1 or not size["n"]:
-        return []
-    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
-    return sorted(set(found))
+def _range_number(docs: DataFrame) -> Column:
+    """The range of each doc_id, of about RANGE_BYTES of text: 0 for null ids, then ascending.
+
+    Ranges lie between quantiles; where more are needed than these, ids between two quantiles are cut evenly.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("doc_id").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    parts = max(1, -(-int(size["b"] or 0) // RANGE_BYTES))
+    doc_id, bounds = F.col("doc_id"), []
+    if parts > 1 and size["n"]:
+        steps = min(parts, QUANTILES)
+        found = docs.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 20 * steps).alias("q")).first()["q"]
+        bounds = sorted({int(size["lo"]), *found} | {int(size["hi"]) + 1})
+    if not bounds:
+        return F.when(doc_id.isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    # the bound below an id is looked up among some of them, then among those between
+    stride = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + stride + 1] for i in range(0, len(bounds), stride)]
+    longs = lambda values: F.array(*[F.lit(int(v)) for v in values]).cast("array<bigint>")
+    heads, nested = longs([g[0] for g in groups]), F.array(*[longs(g) for g in groups])
+    at = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
+    outer = F.greatest(at(heads), F.lit(1))
+    inner = F.greatest(F.least(at(F.element_at(nested, outer)), F.lit(stride)), F.lit(1))
+    cuts = -(-parts // len(bounds))
+    number = ((outer - 1) * stride + inner).cast("long")
+    if cuts > 1:
+        low = F.element_at(F.element_at(nested, outer), inner)
+        high = F.coalesce(F.get(F.element_at(nested, outer), inner), low + 1)
+        within = F.floor((doc_id - low).cast("double") / (high - low).cast("double") * cuts)
+        number = number * cuts + F.least(F.greatest(within, F.lit(0)), F.lit(cuts - 1)).cast("long")
+    return F.when(doc_id.isNull(), F.lit(0)).otherwise(number).cast("long")
 
 
 def neighbour_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = K) -> DataFrame:
@@ -126,27 +151,22 @@ def neighbour_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = K)
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds = _ranges(rows)
-    # range 0: null ids; range 1 + i: ids from bounds[i - 1] on
-    numbers = F.lit(1)
-    if bounds:
-        numbers = F.lit(1) + F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("doc_id")))
-    number = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(numbers).cast("int")
-    # the greatest row of each range; two numbers a range come to the driver
-    tops = rows.groupBy(number.alias("part")).agg(F.max("doc_id").alias("top")).collect()
-    if not tops:
+    rows = rows.withColumn("part", _range_number(rows))
+    # the greatest id of each range, and the range above it; after the last comes the first. A row a range
+    tops = rows.groupBy("part").agg(F.max("doc_id").alias("top"))
+    upward = Window.partitionBy(F.lit(0)).orderBy("part")
+    edges = tops.select("part", "top", F.coalesce(F.lead("part").over(upward), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("also"))
+    edges = cut(edges, "edges")
+    have = edges.count()
+    if not have:
         return spark.createDataFrame([], _SCHEMA)
-    have = sorted(r["part"] for r in tops)
-    above = {p: have[(i + 1) % len(have)] for i, p in enumerate(have)}
-    edges = spark.createDataFrame([(r["part"], r["top"], above[r["part"]]) for r in tops], "part int, top long, also int")
-    # at most MOST_RANGES + 1 rows are broadcast
-    sent = rows.withColumn("part", number).join(F.broadcast(edges), "part")
+    sent = rows.join(F.broadcast(edges) if have <= BROADCAST_RANGES else edges, "part")
     sent = sent.withColumn("also", F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.col("also")))
     own = F.struct("part", F.lit(False).alias("guest"))
     guest = F.struct(F.col("also").alias("part"), F.lit(True).alias("guest"))
     sent = sent.select("doc_id", "text", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("x")).select("doc_id", "text", "x.part", "x.guest")
     # guests come after the rows of their range; of several with one id the first by text is the next
-    dealt = sent.repartition(max(1, len(have)), "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    dealt = sent.repartitionByRange(have, "part").sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # (part, doc_id, text, sketch) that waits for its next
