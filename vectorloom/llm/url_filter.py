@@ -13,6 +13,7 @@ import struct
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +102,33 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
-    """The keys that could fit: each domain suffix of the host with each known prefix length of the path."""
-    prefixes = [path[:n] for n in lengths if n <= len(path)]
-    while host:
+@dataclass(frozen=True)
+class Shape:
+    """Of a set of keys: the greatest length of a host, and the lengths of path prefixes, longest first."""
+
+    host: int
+    paths: tuple[int, ...]
+
+    @staticmethod
+    def of(keys: Iterable[str]) -> Shape:
+        hosts = [k.partition("/")[0] for k in keys]
+        return Shape(max(map(len, hosts), default=0), tuple(sorted({len(k) - len(h) for k, h in zip(keys, hosts, strict=True)}, reverse=True)))
+
+
+def candidates(host: str, path: str, shape: Shape) -> Iterator[str]:
+    """The keys that could fit: each domain suffix of the host that is no longer than a known one, with each known prefix length of the path."""
+    prefixes = [path[:n] for n in shape.paths if n <= len(path)]
+    if not host or not prefixes:
+        return
+    if len(host) <= shape.host:
         for p in prefixes:
             yield host + p
-        dot = host.find(".")
-        host = host[dot + 1 :] if dot >= 0 else ""
+    at = host.find(".", max(0, len(host) - shape.host - 1))
+    while at >= 0:
+        if at + 1 < len(host):
+            for p in prefixes:
+                yield host[at + 1 :] + p
+        at = host.find(".", at + 1)
 
 
 def write_digest_array(spark, entries: Iterable[tuple[str, int]]) -> str:
@@ -156,13 +176,12 @@ def filter_urls(
     rules, blocked = list(rules), list(blocked)
     rule_file = write_digest_array(spark, [(k, ALLOW if a == "allow" else BLOCK) for k, a in rules])
     list_file = write_digest_array(spark, [(k, BLOCK) for k in blocked])
-    lengths = lambda keys: sorted({len(k) - k.index("/") if "/" in k else 0 for k in keys}, reverse=True)
-    rule_lengths, list_lengths = lengths([k for k, _ in rules]), lengths(blocked)
+    rule_shape, list_shape = Shape.of([k for k, _ in rules]), Shape.of(blocked)
 
-    def longest(table: DigestArray, parts: list[tuple[str, str]], sizes: list[int]) -> list[tuple[str, int] | None]:
+    def longest(table: DigestArray, parts: list[tuple[str, str]], shape: Shape) -> list[tuple[str, int] | None]:
         owner, keys = [], []
         for i, (host, path) in enumerate(parts):
-            for key in candidates(host, path, sizes):
+            for key in candidates(host, path, shape):
                 owner.append(i)
                 keys.append(key.encode("utf-8", "surrogatepass"))
         found: list[tuple[str, int] | None] = [None] * len(parts)
@@ -178,7 +197,7 @@ def filter_urls(
         by_rule, by_list = open_digest_array(rule_file), open_digest_array(list_file)
         for batch in batches:
             parts = [host_and_path(u) for u in batch.column(1).to_pylist()]
-            ruled, listed = longest(by_rule, parts, rule_lengths), longest(by_list, parts, list_lengths)
+            ruled, listed = longest(by_rule, parts, rule_shape), longest(by_list, parts, list_shape)
             verdicts = ["allow" if (r[1] == ALLOW if r else not b) else "block" for r, b in zip(ruled, listed, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
