@@ -65,9 +65,11 @@ def test_many_repeats_keep_the_sketch_whole():
     assert (fp.sketch(np.repeat(few, 50)) == few[: fp.K]).all()
 
 
-@pytest.mark.parametrize("bytes_", [50, 300, 1 << 24])
-def test_neighbours(spark, monkeypatch, bytes_):
+@pytest.mark.parametrize(("bytes_", "quantiles", "broadcast"), [(50, 4096, 1000), (300, 4096, 1000), (1 << 24, 4096, 1000), (50, 3, 0)])
+def test_neighbours(spark, monkeypatch, bytes_, quantiles, broadcast):
     monkeypatch.setattr(fp, "RANGE_BYTES", bytes_)
+    monkeypatch.setattr(fp, "QUANTILES", quantiles)
+    monkeypatch.setattr(fp, "BROADCAST_RANGES", broadcast)
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abcdefg") * 2 for _ in range(rng.randint(0, 30)))) for i in range(0, 60, 2)]
     rows += [(None, "no id"), (7, None), (9, ""), (8, "same id two"), (8, "ünïcode é"), (8, "same id two")]
