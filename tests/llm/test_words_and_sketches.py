@@ -80,9 +80,11 @@ def test_neighbours(spark, monkeypatch, bytes_, quantiles, broadcast):
         following, cut = order[(i + 1) % len(order)][1], len(t) // 3
         e = t[: len(t) - cut] + following[:cut]
         like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
-        near = like(shingle_set(t, 5), shingle_set(e, 5)), like(shingle_set(t, 5), shingle_set(following, 5))
+        part = lambda a, b: len(a & b) / len(a) if a else 1.0
+        a, b, c = (shingle_set(x, 5) for x in (t, e, following))
+        near = like(a, b), like(a, c), len(a), part(a, b), part(a, c)
         want.append((str(k), len(t), hashlib.sha256(e.encode()).hexdigest(), *(round(x, 9) for x in near)))
-    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in fp.neighbour_fingerprints(d).collect()]
+    got = [(str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9), r.n_shingles, round(r.in_edited, 9), round(r.in_next, 9)) for r in fp.neighbour_fingerprints(d).collect()]
     assert sorted(got) == sorted(want)
 
 

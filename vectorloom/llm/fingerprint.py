@@ -140,7 +140,9 @@ def _range_number(docs: DataFrame) -> Column:
 def neighbour_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = K) -> DataFrame:
     """Fingerprints of each text, of its edited text, and likeness to these and to the next document.
 
-    Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+    estimates of its distinct shingles (n_shingles) and of the share of these that the edited text (in_edited)
+    and the next document (in_next) have.
     The edited text has its last floor(n_chars/3) code points replaced by the first as many (or all)
     of the next document, by descending doc_id, null last, equal ids by descending text; after the last
     comes the first. A null text is empty. A table of one row is its own next; an empty one gives none.
@@ -187,7 +189,7 @@ def neighbour_fingerprints(docs: DataFrame, n: int = SHINGLE_WORDS, k: int = K)
     return dealt.mapInArrow(run, _SCHEMA)
 
 
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_shingles double, in_edited double, in_next double"
 
 
 def _slices(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -215,6 +217,9 @@ def _finish(rows: list[tuple], n: int, k: int) -> pa.RecordBatch:
             pa.array([to_text(s) for s in changed], pa.string()),
             pa.array([resemblance(r[2], s, k) for r, s in zip(rows, changed, strict=True)], pa.float64()),
             pa.array([resemblance(r[2], r[4], k) for r in rows], pa.float64()),
+            pa.array([distinct_count(r[2], k) for r in rows], pa.float64()),
+            pa.array([containment(r[2], s, k) for r, s in zip(rows, changed, strict=True)], pa.float64()),
+            pa.array([containment(r[2], r[4], k) for r in rows], pa.float64()),
         ],
-        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+        ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_shingles", "in_edited", "in_next"],
     )

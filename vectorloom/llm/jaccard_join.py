@@ -526,7 +526,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, threshold: int = 90) ->
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that are the smallest doc_id of their component; unlinked rows stay."""
+    """The rows of docs, all columns, that are the smallest doc_id of their component; unlinked rows stay.
+
+    Null and empty texts link with nothing and stay; rows with a null doc_id stay, as nothing tells them from
+    others; repeated rows of the smallest doc_id all stay. An empty table stays empty.
+    """
     found = jaccard_components(docs, words, threshold)
     # a null doc_id cannot be told from others; such rows stay
     gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")

@@ -500,16 +500,18 @@ def _answer(spec: Spec, s: int, table: pa.Table) -> pa.Table:
     parent = index[above[known]]
     third_codes = encode((times[known] - DISCOUNT) / pair_times[above[known]])
     rest = _rest(np.bincount(parent, _CODES[third_codes], len(kept)))
-    write_arrays(spec.file("pairs", s), {**level(context, right[kept], codes, n), "rest": rest})
-    write_arrays(spec.file("triples", s), level(parent, third[known], third_codes, len(kept)))
+    # levels that go again are this attempt's own, so that another attempt at the task does not meet them
+    own = "" if spec.kept else f"-{uuid.uuid4().hex}"
+    write_arrays(spec.file("pairs", s) + own, {**level(context, right[kept], codes, n), "rest": rest})
+    write_arrays(spec.file("triples", s) + own, level(parent, third[known], third_codes, len(kept)))
     del context, codes, parent, third_codes, times, pair_times, known
 
-    arrays = map_arrays(spec.file("pairs", s))
+    arrays = map_arrays(spec.file("pairs", s) + own)
     at = find_children(arrays, left - base, right)
     hit = at >= 0
     pair_p, pair_rest = np.zeros(len(pairs), np.uint16), np.full(len(pairs), 65535, np.uint16)
     pair_p[hit], pair_rest[hit] = arrays["p"][at[hit]], arrays["rest"][at[hit]]
-    arrays = map_arrays(spec.file("triples", s))
+    arrays = map_arrays(spec.file("triples", s) + own)
     open_ = np.flatnonzero((at[above] >= 0) & (third != NO_WORD))
     found = find_children(arrays, at[above[open_]], third[open_])
     triple_p = np.zeros(len(triples), np.uint16)
@@ -517,7 +519,7 @@ def _answer(spec: Spec, s: int, table: pa.Table) -> pa.Table:
 
     if not spec.kept:
         for name in ("pairs", "triples"):
-            drop_file(spec.file(name, s))
+            drop_file(spec.file(name, s) + own)
     blobs, begun = [], 0
     for k, size in enumerate(sizes):
         mine, its = pair[bounds[k] : bounds[k + 1]], triple[begun : begun + size]

@@ -19,42 +19,52 @@ from vectorloom.llm.url_filter import filter_urls
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked at Jaccard 0.9 over 3-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, threshold=90).drop("copies")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and their likeness."""
     return neighbour_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those outside the held-out fold."""
     return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that documents contain; clean documents give no rows."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents keep when 100-byte strings that start earlier are cut out."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages by four rules and a list of blocked hosts."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: base kinds and random tokens."""
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("found")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
     return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels outside the held-out fold."""
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -24,8 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/vectorloom/{spark.sparkContext.applicationId}"
+
+
+_to_clean: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vectorloom/{name}-{uuid.uuid4().hex}"
+    """A path of this application's own; all of them go when it ends."""
+    home = _home(spark)
+    if home not in _to_clean:
+        _to_clean.add(home)
+        atexit.register(clean_up, spark)
+    return f"{home}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes all tables and files that this application's operators have written: results that read them must be done with."""
+    if spark.sparkContext._jsc is not None:
+        drop_path(spark, _home(spark))
 
 
 @contextmanager
