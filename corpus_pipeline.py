@@ -13,27 +13,30 @@ from vectorloom.llm.shared import cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; null and empty texts are scored like others, repeated rows share their fate."""
     return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked at Jaccard 0.8 over five-word shingles the smallest doc_id stays."""
+    """Of each group of documents linked at Jaccard 0.8 over five-word shingles the smallest doc_id stays.
+
+    Texts without words link with nothing and stay; so do rows without a doc_id.
+    """
     return keep_one_of_each(docs, words=5, threshold=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and empty texts contain none."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked."""
+    """Secrets are masked; no row goes, null texts stay null."""
     return redact_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of each document."""
+    """Words that the mix takes of each document; a null source is one of its own, texts without words give 0."""
     return mix_sources(docs)
 
 
@@ -50,7 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
+    """All stages over documents; each result is written and read again. An empty table passes through all of them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
