@@ -133,3 +133,14 @@ def test_components_over_many_tasks(spark, monkeypatch):
     assert len(set(want.values())) > 5 and [want[i] for i in ids[:500]] == [min(ids[:500])] * 500
     got = {r.id: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
+
+
+def test_lone_elements_of_differences_are_not_joined(spark, monkeypatch):
+    """Differences of 30 sets with 20 elements of their own each and 2 shared ones: 60 rows are ranked, not 660."""
+    rows = [(0, r, r, 400, 22, False, [-1, -2, *range(100 * r, 100 * r + 20)]) for r in range(1, 31)]
+    differences = spark.createDataFrame(rows, "ref long, rep long, comp long, n long, a long, linked boolean, u array<long>")
+    plans, real = [], jj.cut
+    monkeypatch.setattr(jj, "cut", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, name))
+    pairs = jj._apart(differences, jj.Plan(90))
+    assert pairs.count() == 30 * 29 // 2
+    assert not any("LeftOuter" in p for p in plans)

@@ -443,7 +443,10 @@ def _apart(differences: DataFrame, plan: Plan) -> DataFrame:
     num = plan.num
     elements = differences.select("ref", "rep", "comp", "n", "a", F.explode("u").alias("e"))
     counts = elements.groupBy("ref", "e").agg(F.count(F.lit(1)).alias("times"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("times > 1")
-    ranked = elements.join(counts, ["ref", "e"], "left").withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.coalesce("times", F.lit(1)), "e")) - 1)
+    # only elements that several differences have are looked at; the others, which come first, are as many as these leave of a
+    common = elements.join(counts, ["ref", "e"])
+    alone = F.col("a") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
+    ranked = common.withColumn("place", (alone + F.row_number().over(Window.partitionBy("rep").orderBy("times", "e")) - 1).cast("int"))
     most = F.expr(f"((n + (n * 100) div {num}) * {100 - num}) div {100 + num}")
     first = cut(ranked.where(F.col("lo") < F.col("hi")).where(F.col("place") <= most).select("ref", "e", "rep", "comp", "n", "a", "place", most.alias("most")), "rare")
     small = first.where("2 * place <= most").select("ref", "e", F.col("rep").alias("o"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"), F.col("a").alias("o_a"), F.col("place").alias("o_place"))
