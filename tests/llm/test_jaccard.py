@@ -144,3 +144,15 @@ def test_lone_elements_of_differences_are_not_joined(spark, monkeypatch):
     pairs = jj._apart(differences, jj.Plan(90))
     assert pairs.count() == 30 * 29 // 2
     assert not any("LeftOuter" in p for p in plans)
+
+
+def test_components_in_more_tasks_than_asked_for(spark, monkeypatch):
+    """Links that one task could hold are dealt over 7: a chain is still one component, and each id has one row."""
+    kind = type(spark.range(1))
+    real = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *by: real(df, max(n, 7), *by) if isinstance(n, int) else real(df, n, *by))
+    ids = list(range(200))
+    random.Random(4).shuffle(ids)
+    links = list(zip(ids, ids[1:], strict=False)) + [(300, 301)]
+    got = sorted(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == [(i, 0) for i in range(200)] + [(300, 300), (301, 300)]

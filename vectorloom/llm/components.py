@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.shared import cut, discard
+from vectorloom.llm.shared import cut, discard, run_once
 
 #: Links that one task contracts by itself.
 TASK_LINKS = 400_000
@@ -39,7 +39,15 @@ def _contracted(links: DataFrame, tasks: int) -> DataFrame:
             ids, low = smallest_reached(*(np.concatenate(x) for x in zip(*held, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(ids)], ["a", "b"])
 
-    return links.select("a", "b").repartition(tasks, "a", "b").mapInArrow(run, "a long, b long")
+    links = links.select("a", "b")
+    dealt = links.repartition(1) if tasks <= 1 else links.repartition(tasks, "a", "b")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _settled(near: DataFrame) -> bool:
+    """Whether no id is in the links of two tasks: then each component is within one task, as it was contracted."""
+    with run_once(near.sparkSession):
+        return near.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,16 +55,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round, tasks contract the links they hold, a bounded number; then every root joins its smallest
     neighbouring root and the links are relabelled. Links within a component vanish, so that rounds grow
-    with the logarithm of the longest chain, and what one task can hold takes one round.
+    with the logarithm of the longest chain, and what one task can hold takes one round. The rounds end when
+    no id is in two tasks, in however many tasks Spark has run them.
     The result is a written table; the tables of earlier rounds are deleted.
     """
     edges = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while True:
         tasks = -(-edges.count() // TASK_LINKS)
-        near = cut(_contracted(edges, max(1, tasks)), "stars")
+        near = cut(_contracted(edges, tasks), "stars")
         discard(edges)
-        if tasks <= 1:
+        if _settled(near):
             found = near.select(F.col("b").alias("id"), F.col("a").alias("comp"))
             if labels is None:
                 found._cut_path = near._cut_path
